@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, exact_dedup, language_id, mixing, packing, pitman_yor, quality_ranking, simhash, suffix_dedup
+from . import compression, exact_dedup, language_id, mixing, packing, pitman_yor, quality_ranking, secret_forest, simhash, suffix_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,6 +51,10 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.scored(documents(spark, sf_dir))
 
 
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.findings(documents(spark, sf_dir), secret_forest.synthetic_findings(spark))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pitman_yor": op7_pitman_yor,
+    "op8_secret_forest": op8_secret_forest,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
     "pipeline": pipeline,
