@@ -37,6 +37,8 @@ LONGEST = 16
 WORD_BYTES = 64
 UNKNOWN = 1e-8
 SMOOTHING = 0.01
+#: Words whose scores a worker keeps.
+CACHED = 250_000
 UND = "und"
 #: The pipeline keeps texts with at least this score.
 LEAST_SCORE = 0.5
@@ -45,9 +47,37 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 MARK = "▁"
 
 
+class Index:
+    """Finds pieces by hash: a wide table of first candidates, and a narrow one of those whose place was taken."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
+        self.hashes, self.sizes = hashes, sizes
+        self.wide = np.zeros(1 << 22, dtype=np.int32)
+        at = (hashes & np.uint64((1 << 22) - 1)).astype(np.int64)
+        self.wide[at] = np.arange(len(hashes))
+        lost = np.flatnonzero(self.wide[at] != np.arange(len(hashes)))
+        for bits in range(12, 22):
+            for shift in range(22, 63 - bits):
+                place = (hashes[lost] >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
+                if len(np.unique(place)) == len(lost):
+                    self.shift, self.narrow = np.uint64(shift), np.zeros(1 << bits, dtype=np.int32)
+                    self.narrow[place] = lost
+                    return
+        raise ValueError("the vocabulary's hashes clash")
+
+    def find(self, h: np.ndarray, size: int) -> np.ndarray:
+        """The piece of each hash and size in bytes, or -1."""
+        i = self.wide[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        hit = self.hashes[i] == h
+        j = self.narrow[(h >> self.shift).astype(np.int64) & (len(self.narrow) - 1)]
+        other = self.hashes[j] == h
+        found = np.where(hit, i, np.where(other, j, -1))
+        return np.where(self.sizes[found] == size, found, -1)
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the vocabulary's lower-case letter pieces, and their lengths in bytes."""
+def vocabulary(path: str) -> Index:
+    """The vocabulary's lower-case letter pieces."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,7 +92,7 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
     pieces = sorted(found)
     hashes = np.array([_hash_of(p) for p in pieces], dtype=np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], np.array([len(pieces[i]) for i in order])
+    return Index(hashes[order], np.array([len(pieces[i]) for i in order]))
 
 
 def _hash_of(raw: bytes) -> np.uint64:
@@ -78,17 +108,6 @@ def letters(text: str | None) -> bytes:
     return raw
 
 
-def words_of(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words (with the space before them), the index of each word among them, words per text."""
-    index: dict[bytes, int] = {}
-    codes, per = [], []
-    for raw in raws:
-        parts = raw.split()
-        per.append(len(parts))
-        codes.extend([index.setdefault(w, len(index)) for w in parts])
-    return list(index), np.array(codes, dtype=np.int64), np.array(per, dtype=np.int64)
-
-
 def _segments(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """Words after a space, long ones cut between characters; the word of each segment."""
     out, owner = [], []
@@ -106,7 +125,7 @@ def _segments(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return out, np.array(owner, dtype=np.int64)
 
 
-def lattice(block: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+def lattice(block: np.ndarray, index: Index) -> dict[tuple[int, int], np.ndarray]:
     """For words of equal length (rows of bytes): piece of each row at (start, end); -1 none, -2 an unknown character."""
     n, width = block.shape
     flat = np.ascontiguousarray(block).reshape(-1)
@@ -120,9 +139,7 @@ def lattice(block: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> dict[tu
         for end in range(start + 1, min(width, start + LONGEST) + 1):
             size = end - start
             h = mix((sums[at + end] - sums[at + start]) * down[at + start] ^ (np.uint64(size) << np.uint64(40)))
-            i = np.searchsorted(hashes, h)
-            i[i == len(hashes)] = 0
-            piece = np.where((hashes[i] == h) & (sizes[i] == size), i, -1)
+            piece = index.find(h, size)
             if size <= 4:
                 piece[(piece < 0) & (chars[:, start] == size)] = -2
             if (piece != -1).any():
@@ -162,11 +179,11 @@ def _blocks(segments: list[bytes]):
 
 def word_scores(words: list[bytes], table: np.ndarray, path: str) -> np.ndarray:
     """Natural log probability of each word in each language."""
-    hashes, sizes = vocabulary(path)
+    index = vocabulary(path)
     segments, owner = _segments(words)
     out = np.zeros((len(words), table.shape[1]))
     for rows, width, block in _blocks(segments):
-        alpha = forward(lattice(block, hashes, sizes), width, len(rows), table)
+        alpha = forward(lattice(block, index), width, len(rows), table)
         np.add.at(out, owner[rows], np.log(np.maximum(alpha[:, width], 1e-300)))
     return out
 
@@ -177,17 +194,33 @@ def _full_table(probs: np.ndarray) -> np.ndarray:
 
 
 class Model:
+    """Languages and their piece probabilities; scores of the words met last are kept, CACHED at most."""
+
     def __init__(self, languages: list[str], probs: np.ndarray, vocab: str):
         self.languages, self.table, self.vocab = languages, _full_table(probs), vocab
+        self.known: dict[bytes, int] = {}
+        self.logs = np.zeros((0, len(languages)))
+
+    def codes(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Row of `logs` for each word, and words per text; new words are scored."""
+        if len(self.known) > CACHED:
+            self.known, self.logs = {}, self.logs[:0]
+        before = len(self.known)
+        place, codes, per = self.known.setdefault, [], []
+        for raw in raws:
+            parts = raw.split()
+            per.append(len(parts))
+            codes += [place(w, len(self.known)) for w in parts]
+        new = [w for w, _ in zip(reversed(self.known), range(len(self.known) - before))][::-1]
+        if new:
+            self.logs = np.concatenate([self.logs, word_scores(new, self.table, self.vocab)])
+        return np.array(codes, dtype=np.int64), np.array(per, dtype=np.int64)
 
     def posteriors(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Posterior of each language for each text, and its number of words."""
-        words, codes, per = words_of(raws)
-        if not words:
-            return np.zeros((len(raws), len(self.languages))), per
-        logs = word_scores(words, self.table, self.vocab)
+        codes, per = self.codes(raws)
         owner = np.repeat(np.arange(len(raws)), per)
-        total = np.stack([np.bincount(owner, weights=logs[codes, k], minlength=len(raws)) for k in range(logs.shape[1])], axis=1)
+        total = np.stack([np.bincount(owner, weights=self.logs[codes, k], minlength=len(raws)) for k in range(self.logs.shape[1])], axis=1)
         total -= total.max(axis=1, keepdims=True)
         p = np.exp(total)
         return p / p.sum(axis=1, keepdims=True), per
@@ -211,9 +244,9 @@ def fit(labelled: DataFrame, vocab: str, train_rows: int = TRAIN_ROWS, rounds: i
     known = labelled.filter("lang is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    hashes, _ = vocabulary(vocab)
+    n_pieces = len(vocabulary(vocab).sizes)
     if not languages:
-        return Model([], np.ones((len(hashes), 0)), vocab)
+        return Model([], np.ones((n_pieces, 0)), vocab)
     part = F.create_map(*[x for g in languages for x in (F.lit(g), F.lit(min(1.0, train_rows / sizes[g])))])
     chance = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
     sample = known.filter(chance < part[F.col("lang")]).select("text", "lang")
@@ -226,12 +259,12 @@ def fit(labelled: DataFrame, vocab: str, train_rows: int = TRAIN_ROWS, rounds: i
         return {"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())}
 
     words = materialise(arrow_map(sample, count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    probs = np.full((len(hashes), len(languages)), 1.0 / len(hashes))
+    probs = np.full((n_pieces, len(languages)), 1.0 / n_pieces)
     for _ in range(rounds):
         table = spark.sparkContext.broadcast(_full_table(probs))
 
         def expect(batch: pa.RecordBatch, table=table) -> dict:
-            hashes, sizes = vocabulary(vocab)
+            index = vocabulary(vocab)
             langs = np.array(batch.column("lang").to_pylist())
             out = {"lang": [], "piece": [], "n": []}
             for g in np.unique(langs):
@@ -241,7 +274,7 @@ def fit(labelled: DataFrame, vocab: str, train_rows: int = TRAIN_ROWS, rounds: i
                 times = batch.column("n").to_numpy()[mine][owner]
                 total = np.zeros(len(column))
                 for rows, width, block in _blocks(segments):
-                    grid = lattice(block, hashes, sizes)
+                    grid = lattice(block, index)
                     a, b = forward(grid, width, len(rows), column)[..., 0], backward(grid, width, len(rows), column)[..., 0]
                     weight = times[rows] / np.maximum(a[:, width], 1e-300)
                     for (start, end), piece in grid.items():
