@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.functions import text as T
-from topicweave.functions.vectors import blend, centroids, cosine, unit
+from topicweave.functions.vectors import blend, centroids, cosine, nearest, unit
 from topicweave.operators import clustering as C
 from topicweave.operators import keyphrases as K
 from topicweave.operators import keywords as Q
@@ -334,6 +334,17 @@ def theme_label_fallback(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.theme_label(F.lit(" "), T.parse_keyphrases(F.col("text"), 5)).alias("label"))
 
 
+@query(f"WITH {PHRASES}, w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(array_to_string(k, ' ')), '[a-z]{{2,}}')) AS w FROM k) SELECT doc_id, array_to_string(list_sort(w), ' ') AS words FROM w")
+def keyword_normalise(spark, sf_dir):
+    words = T.topic_keywords(T.parse_keyphrases(F.col("text"), 5))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(words), " ").alias("words"))
+
+
+@query("SELECT doc_id, CAST(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS INT) AS stripped_chars FROM documents")
+def unicode_strip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.strip(F.col("text"))).alias("stripped_chars"))
+
+
 # --- labels ----------------------------------------------------------------------------
 
 
@@ -406,6 +417,18 @@ def joint_representation(spark, sf_dir):
 # --- selection and assignment -----------------------------------------------------------------
 
 
+@query(f"""WITH {VEC}, {CENT}, s AS (SELECT doc_idx, cent.topic_id, round(list_cosine_similarity(embedding, centroid), 9) AS sim FROM v, cent)
+    SELECT doc_idx, topic_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY doc_idx ORDER BY sim DESC, topic_id) AS r FROM s) WHERE r = 1""")
+def nearest_centroid(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return nearest(v, centroids(v, "topic_id"), "doc_idx").withColumn("sim", r6("sim"))
+
+
+@query(f"WITH {VEC} SELECT topic_id, doc_idx, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY doc_idx) AS r FROM v) WHERE r <= 2")
+def label_samples(spark, sf_dir):
+    return Q.samples(vectors(spark, sf_dir)).select("topic_id", "doc_idx", "rank")
+
+
 @query()
 def stratified_quota(spark, sf_dir):
     sizes = {r["topic_id"]: r["n"] for r in vectors(spark, sf_dir).groupBy("topic_id").agg(F.count("*").alias("n")).collect()}
