@@ -9,11 +9,15 @@ anchors are equal, and no pair of texts has to be compared as a whole:
    all bytes of the strings that can have this anchor. Within a task, of equal
    contexts only the first occurrence goes on; the others are removed at once.
    This is a pre-aggregation, so a passage that every document holds sends one
-   row per task.
+   row per task. Where a task sees several contexts of an anchor, one goes on to
+   meet other tasks', marked; the others are asked for anyway and dealt apart, so
+   that a common line with many surroundings is no single task's load.
 2. Anchors are dealt by hash. Of equal contexts all but the first are removed.
    Where one anchor has different contexts, at the ends of repeated passages or
    by chance, the first of each is asked for.
-3. Those contexts are cut out of their texts and meet by anchor. A suffix array
+3. Those contexts are cut out of their texts. A string reaches at least half of
+   what it has beside the anchor to one side of it, so contexts meet by anchor and
+   that side's bytes; one that meets none is done. A suffix array
    over them, longest common prefixes, and the previous and next smaller
    positions in suffix order give the longest previous factor of each string
    start; where it reaches LENGTH, the string goes.
@@ -34,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,21 +137,23 @@ def merged(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return ids[first], starts[first], reach[np.append(first[1:], len(ids)) - 1]
 
 
-_ROW = "kind byte, anchor long, context long, id long, pos long, lo long, hi long"
-_ROW_NAMES = ["kind", "anchor", "context", "id", "pos", "lo", "hi"]
-_SPAN, _SEEN = 0, 1
+_ROW = "kind byte, deal long, anchor long, context long, id long, pos long, lo long, hi long"
+_ROW_NAMES = ["kind", "deal", "anchor", "context", "id", "pos", "lo", "hi"]
+#: A removed span (from pos to lo), an occurrence, and one whose anchor has several contexts.
+_SPAN, _SEEN, _MANY = 0, 1, 2
 
 
-def _rows(kind: int, anchor, context, ids, pos, lo, hi) -> pa.RecordBatch:
+def _rows(kind, deal, anchor, context, ids, pos, lo, hi) -> pa.RecordBatch:
     n = len(ids)
-    cols = [np.full(n, kind, dtype=np.int8), anchor.view(np.int64), context.view(np.int64), *(np.asarray(c, dtype=np.int64) for c in (ids, pos, lo, hi))]
+    cols = [np.full(n, kind, dtype=np.int8), deal.view(np.int64), anchor.view(np.int64), context.view(np.int64), *(np.asarray(c, dtype=np.int64) for c in (ids, pos, lo, hi))]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_ROW_NAMES)
 
 
 def _spans(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
     ids, starts, ends = merged(ids, starts, ends)
     spread = mix(ids.astype(np.uint64) ^ starts.astype(np.uint64))
-    return _rows(_SPAN, spread, np.zeros(len(ids), np.uint64), ids, starts, ends, np.zeros(len(ids), np.int64))
+    none = np.zeros(len(ids), np.uint64)
+    return _rows(_SPAN, spread, none, none, ids, starts, ends, np.zeros(len(ids), np.int64))
 
 
 def _first_and_rest(o: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +169,14 @@ def _first_and_rest(o: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[fresh], order[~fresh & ~again]
 
 
+def dealt(anchor: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and keys of a task's first occurrences, in the order of anchors: the first context of an anchor goes by the anchor, others by both."""
+    head = np.concatenate(([True], anchor[1:] != anchor[:-1]))[: len(anchor)]
+    many = ~head
+    many[:-1] |= ~head[1:]
+    return np.where(many, _MANY, _SEEN).astype(np.int8), np.where(head, anchor, mix(anchor ^ mix(context)))
+
+
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -172,9 +187,10 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             first, rest = _first_and_rest(o)
             if len(rest):
                 yield _spans(o["id"][rest], o["pos"][rest] - o["lo"][rest], o["pos"][rest] - o["hi"][rest] + length)
+            kind, deal = dealt(o["anchor"][first], o["context"][first])
             for k in range(0, len(first), 1 << 16):
                 f = first[k : k + (1 << 16)]
-                yield _rows(_SEEN, *(o[n][f] for n in ("anchor", "context", "id", "pos", "lo", "hi")))
+                yield _rows(kind[k : k + (1 << 16)], deal[k : k + (1 << 16)], *(o[n][f] for n in ("anchor", "context", "id", "pos", "lo", "hi")))
 
         for batch in batches:
             raws = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
@@ -190,15 +206,15 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, _ROW)
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Batches sorted by anchor, cut only between anchors."""
+def _runs_of(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[dict[str, np.ndarray]]:
+    """Batches sorted by a key, cut only between its values."""
     held: list[dict] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = {n: (batch.column(n).to_numpy() if n != "bytes" else np.array(batch.column(n).to_pylist(), dtype=object)) for n in batch.schema.names}
-        change = np.flatnonzero(cols["anchor"][1:] != cols["anchor"][:-1]) + 1
-        if held and held[0]["anchor"][-1] == cols["anchor"][0] and not len(change):
+        change = np.flatnonzero(cols[by][1:] != cols[by][:-1]) + 1
+        if held and held[0][by][-1] == cols[by][0] and not len(change):
             held.append(cols)
             continue
         cut = int(change[-1]) if len(change) else 0
@@ -214,7 +230,7 @@ def settled(rows: DataFrame, length: int) -> DataFrame:
     """From anchors of all tasks: spans (kind 0), and contexts that must be compared (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for o in _runs_of(batches):
+        for o in _runs_of(batches, "deal"):
             span = o["kind"] == _SPAN
             if span.any():
                 yield _spans(o["id"][span], o["pos"][span], o["lo"][span])
@@ -224,17 +240,31 @@ def settled(rows: DataFrame, length: int) -> DataFrame:
             first, rest = _first_and_rest(o)
             if len(rest):
                 yield _spans(o["id"][rest], o["pos"][rest] - o["lo"][rest], o["pos"][rest] - o["hi"][rest] + length)
-            a = o["anchor"][first]
-            same = a[1:] == a[:-1]
-            many = np.zeros(len(a), dtype=bool)
-            many[1:] |= same
-            many[:-1] |= same
-            if many.any():
-                f = first[many]
-                yield _rows(_SEEN, *(o[n][f] for n in ("anchor", "context", "id", "pos", "lo", "hi")))
+            f = first[several(o["anchor"], o["kind"], first)]
+            if len(f):
+                yield _rows(_SEEN, o["deal"][f], *(o[n][f] for n in ("anchor", "context", "id", "pos", "lo", "hi")))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, _ROW)
+    return rows.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, _ROW)
+
+
+def several(anchor: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the first occurrences (sorted by anchor) have an anchor with several contexts, here or by its mark."""
+    names, group = np.unique(anchor, return_inverse=True)
+    marked = np.zeros(len(names), dtype=bool)
+    marked[group[kind == _MANY]] = True
+    return marked[group[first]] | (np.bincount(group[first], minlength=len(names))[group[first]] > 1)
+
+
+def sides(anchor: int, pos: int, lo: int, hi: int, raw: bytes, length: int, gram: int) -> list[tuple]:
+    """Keys, reaches and bytes of the two kinds of strings around an anchor: those that reach far to its left, and to its right."""
+    half, out = (length - gram) // 2, []
+    seed = anchor & 0xFFFFFFFFFFFFFFFF
+    for a, b, beside in ((lo, max(hi, half), (pos - half, pos)), (min(lo, half - 1), hi, (pos + gram, pos + gram + half))):
+        if a >= b:
+            key = xxhash.xxh64_intdigest(raw[beside[0] : beside[1]], seed) >> 1
+            out.append((key, pos, a, b, raw[pos - a : pos - b + length]))
+    return out
 
 
 # --- suffix array -------------------------------------------------------------
@@ -325,7 +355,14 @@ def compared(rows: DataFrame, length: int) -> DataFrame:
     """Spans from contexts with their bytes, dealt by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for o in _runs_of(batches):
+        for o in _runs_of(batches, "anchor"):
+            alone = np.ones(len(o["anchor"]), dtype=bool)
+            same = o["anchor"][1:] == o["anchor"][:-1]
+            alone[1:] &= ~same
+            alone[:-1] &= ~same
+            o = {k: v[~alone] for k, v in o.items()}
+            if not len(o["anchor"]):
+                continue
             edges = np.concatenate(([0], np.flatnonzero(o["anchor"][1:] != o["anchor"][:-1]) + 1, [len(o["anchor"])]))
             size = np.concatenate(([0], np.cumsum([len(b) + 1 for b in o["bytes"]])))
             i = 0
@@ -354,7 +391,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         for batch in batches:
             for doc, text, asked in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                rows = [(a["anchor"], doc, a["pos"], a["lo"], a["hi"], raw[a["pos"] - a["lo"] : a["pos"] - a["hi"] + length]) for a in asked if a["pos"] - a["hi"] + length <= len(raw)]
+                rows = [(k, doc, p, lo, hi, part) for a in asked if a["pos"] - a["hi"] + length <= len(raw) for k, p, lo, hi, part in sides(a["anchor"], a["pos"], a["lo"], a["hi"], raw, length, gram)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
