@@ -69,7 +69,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = keyed.select("row_key", "doc_id", "n_cp", "text_sha256", key.alias("recipe_key"))
     best = F.min(F.struct((-F.col("n_cp")).alias("n"), "doc_id", "row_key"))
     groups = keyed.groupBy("recipe_key").agg(F.count("*").alias("group_size"), best.alias("best")).select("recipe_key", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row_key").alias("keep_key"))
-    return keyed.join(groups, "recipe_key").select("row_key", "doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "text_sha256")
+    # Read anew, both sides of the join are plain exchanges, so a hot group's rows can be split over tasks.
+    return keyed.join(materialise(groups, "groups"), "recipe_key").select("row_key", "doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
