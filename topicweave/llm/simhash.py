@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = named.join(least, "root").select(F.col("fp").alias("linked_fp"), "least_id")
     nodes = firsts.join(linked, firsts["fp"] == linked["linked_fp"], "left").select(F.col("fp").alias("node"), F.coalesce("least_id", "first_id").alias("component_id"))
+    nodes = materialise(nodes, "components")  # both sides of the join are then plain exchanges, and a hot fingerprint can be split
     return fps.join(nodes, fps["fp"] == nodes["node"]).select("doc_id", "fp", "component_id")
 
 
