@@ -41,7 +41,7 @@ SLACK = 0.002
 CURVE = 0.05
 STEP = 0.5
 #: Pieces that are ranked together.
-RANKED = 20_000
+RANKED = 2_000
 
 
 # --- tokens ------------------------------------------------------------------
