@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialise
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = "mix-1"
+#: Sources that are sent to the rows at most.
+MOST_SENT = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,7 +71,10 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = docs.withColumn("__size", word_count(F.col(text_col)))
     targets = source_targets(sized.select(F.col(source_col).alias("source"), F.col("__size").alias("size")), weights, most)
     targets = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("__source")))
+    # A row per source: sent to the rows if there are few, else joined, with hot sources left to adaptive splitting.
+    targets = materialise(targets, "targets")
+    few = targets.count() <= MOST_SENT
+    joined = sized.join(F.broadcast(targets) if few else targets, F.col(source_col).eqNullSafe(F.col("__source")))
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(1.0))
     whole = F.floor(rate)
     copies = whole + F.when(draw(F.col(id_col), seed) < rate - whole, 1).otherwise(0)
