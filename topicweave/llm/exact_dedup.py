@@ -66,7 +66,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     # The list stands in for itself in the shuffle by a 256-bit digest of it, whatever its length.
     key = F.sha2(F.concat_ws(",", F.transform("ids", lambda i: i.cast("string")), F.transform(F.coalesce("digests", F.array().cast("array<binary>")), F.hex)), 256)
-    keyed = keyed.select("row_key", "doc_id", "n_cp", "text_sha256", key.alias("recipe_key"))
+    keyed = materialise(keyed.select("row_key", "doc_id", "n_cp", "text_sha256", key.alias("recipe_key")), "keyed")
     best = F.min(F.struct((-F.col("n_cp")).alias("n"), "doc_id", "row_key"))
     groups = keyed.groupBy("recipe_key").agg(F.count("*").alias("group_size"), best.alias("best")).select("recipe_key", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row_key").alias("keep_key"))
     # Read anew, both sides of the join are plain exchanges, so a hot group's rows can be split over tasks.
