@@ -1,5 +1,9 @@
 """Text functions on literals."""
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from topicweave.functions import text as T
@@ -30,6 +34,40 @@ def test_chunk_keeps_size_overlap_and_order(spark):
     assert one(spark, T.chunk, "short", "") == [[], []]
 
 
+def packed_by_hand(text, size, overlap, least):
+    """The packing rule, unit by unit."""
+    out, cur = [], ""
+
+    def make_room(n):
+        nonlocal cur
+        if cur and len(cur) + n + 1 > size:
+            out.append(cur.strip())
+            cur = cur[-overlap:] if overlap else ""
+
+    for p in filter(None, (x.strip() for x in re.split(r"\n\s*\n", text))):
+        make_room(len(p))
+        if len(p) <= size * 1.5:
+            cur = f"{cur}\n{p}".strip()
+            continue
+        for s in re.split(r"(?<=[.!?다])\s+", p):
+            make_room(len(s))
+            cur = f"{cur} {s}".strip()
+    return [c for c in [*out, cur.strip()] if len(c) >= least]
+
+
+@pytest.mark.parametrize("size, overlap, least", [(60, 12, 5), (40, 0, 1), (90, 30, 20)])
+def test_chunk_follows_the_rule(spark, size, overlap, least):
+    rng = random.Random(size)
+    texts = []
+    for _ in range(120):
+        text = ""
+        for _ in range(rng.randint(0, 40)):
+            text += "a" * rng.randint(1, 9) + rng.choice([" ", " ", ". ", "! ", "\n", "\n\n", "\n \n", "다 ", " \n\n  "]) if rng.random() > 0.03 else "b" * rng.randint(30, 160) + " "
+        texts.append(text)
+    got = one(spark, lambda c: T.chunk(c, size, overlap, least), *texts)
+    assert got == [packed_by_hand(t, size, overlap, least) for t in texts]
+
+
 def test_small_parsers(spark):
     assert one(spark, T.major_category, "사회>사건_사고 | 사회>여성", "a", None) == ["사회", "a", None]
     assert one(spark, lambda c: T.parse_keyphrases(c, 3), "'one', two，x\n\"three\", four") == [["one", "two", "three"]]

@@ -55,39 +55,44 @@ def clean_document(text: Column) -> Column:
     return F.coalesce(F.when(strip(text) == "", F.lit("")).otherwise(cleaned), F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def chunk(text: Column, size: int = 900, overlap: int = 100, least: int = 50) -> Column:
     """Greedy packing of paragraphs into chunks of about `size` characters.
 
     A full chunk is emitted and its last `overlap` characters open the next one.
-    Paragraphs longer than 1.5 times the size are packed sentence by sentence.
-    Chunks shorter than `least` are dropped. One fold over an array of units
-    (a paragraph, or a sentence of a long one), no Python.
+    Paragraphs longer than 1.5 times the size are packed sentence by sentence,
+    after a flush as for the whole paragraph. Chunks shorter than `least` are
+    dropped. One fold over an array of units (a paragraph, or a sentence of a
+    long one), no Python.
     """
+    unit = lambda body, glue, room, twice: F.struct(body.alias("body"), F.lit(glue).alias("glue"), room.alias("room"), twice.alias("twice"))
+    sentences = lambda p: F.transform(F.split(p, r"(?<=[.!?다])(?U)\s+"), lambda s, i: unit(s, " ", F.when(i == 0, F.length(p)).otherwise(F.length(s)), i == 0))
     paragraphs = F.filter(F.transform(F.split(text, r"\n(?U)\s*\n"), strip), lambda p: p != "")
-    units = F.flatten(F.transform(paragraphs, lambda p: F.when(
-        F.length(p) > size * 1.5, F.transform(F.split(p, r"(?<=[.!?다])(?U)\s+"), lambda s: F.struct(s.alias("body"), F.lit(" ").alias("glue")))
-    ).otherwise(F.array(F.struct(p.alias("body"), F.lit("\n").alias("glue"))))))
-    # A long paragraph is flushed once as a paragraph before its sentences are packed.
-    firsts = F.flatten(F.transform(paragraphs, lambda p: F.when(
-        F.length(p) > size * 1.5, F.transform(F.split(p, r"(?<=[.!?다])(?U)\s+"), lambda s, i: F.when(i == 0, F.length(p)).otherwise(F.length(s)))
-    ).otherwise(F.array(F.length(p)))))
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    units = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > size * 1.5, sentences(p)).otherwise(F.array(unit(p, "\n", F.length(p), F.lit(False))))))
+    tail = lambda c: F.right(c, F.lit(overlap)) if overlap > 0 else F.lit("")
+
+    def flushed(acc: Column, room: Column, when: Column | None = None) -> Column:
+        """The state after a flush, if the current chunk has no room for so many characters more."""
+        full = (acc["cur"] != "") & (F.length(acc["cur"]) + room + 1 > size)
+        full = full if when is None else full & when
+        emitted = F.struct(F.array_append(acc["out"], strip(acc["cur"])).alias("out"), tail(acc["cur"]).alias("cur"))
+        return F.when(full, emitted).otherwise(acc)
 
-    def step(acc: Column, pair: Column) -> Column:
-        unit, first = pair["0"], pair["1"]
-        tail = lambda c: F.right(c, F.lit(overlap)) if overlap > 0 else F.lit("")
-        full = (acc["cur"] != "") & (F.length(acc["cur"]) + first + 1 > size)
-        out = F.when(full, F.array_append(acc["out"], strip(acc["cur"]))).otherwise(acc["out"])
-        cur = F.when(full, tail(acc["cur"])).otherwise(acc["cur"])
-        # The first sentence of a long paragraph may find the opened chunk too full as well.
-        again = (cur != "") & (F.length(cur) + F.length(unit["body"]) + 1 > size) & (unit["glue"] == " ") & full
-        out = F.when(again, F.array_append(out, strip(cur))).otherwise(out)
-        cur = F.when(again, tail(cur)).otherwise(cur)
-        joined = F.when(unit["glue"] == " ", strip(F.concat(cur, F.lit(" "), unit["body"]))).when(cur != "", strip(F.concat(cur, F.lit("\n"), unit["body"]))).otherwise(unit["body"])
-        return F.struct(out.alias("out"), joined.alias("cur"))
-
-    packed = F.aggregate(F.arrays_zip(units.alias("0"), firsts.alias("1")), state, step)
-    done = F.when(strip(packed["cur"]) != "", F.array_append(packed["out"], strip(packed["cur"]))).otherwise(packed["out"])
+    def joined(acc: Column, u: Column) -> Column:
+        # Units have no blanks at their ends, so only the front of an overlap may have some.
+        text = F.regexp_replace(F.concat(acc["cur"], u["glue"], u["body"]), r"(?U)^\s+", "")
+        return F.struct(acc["out"].alias("out"), F.when(acc["cur"] == "", u["body"]).otherwise(text).alias("cur"))
+
+    def step(acc: Column, u: Column) -> Column:
+        # The first sentence of a long paragraph may find the chunk that the paragraph opened too full as well.
+        return bound(flushed(acc, u["room"]), lambda once: bound(flushed(once, F.length(u["body"]), u["twice"]), lambda twice: joined(twice, u)))
+
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    done = bound(F.aggregate(units, state, step), lambda end: bound(strip(end["cur"]), lambda last: F.when(last != "", F.array_append(end["out"], last)).otherwise(end["out"])))
     return F.filter(done, lambda c: F.length(c) >= least)
 
 
