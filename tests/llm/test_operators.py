@@ -278,8 +278,8 @@ def test_suffix_dedup_small_alphabets(spark):
             if rows and i % 2:
                 raw += rows[int(rng.integers(len(rows)))][1][3:40]
             rows.append((i, raw))
-        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-        got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs, length=length, gram=gram).collect()}
+        docs = spark.createDataFrame([*rows, *rows[::3]], "doc_id long, text string").repartition(5)
+        took = [{r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs, length=length, gram=gram, largest=largest).collect()} for largest in (suffix_dedup.LARGEST, 2)]
         seen = set()
         for i, text in rows:
             covered = np.zeros(len(text) + 1, dtype=bool)
@@ -287,7 +287,19 @@ def test_suffix_dedup_small_alphabets(spark):
                 if text[j : j + length] in seen:
                     covered[j : j + length] = True
                 seen.add(text[j : j + length])
-            assert got[i] == covered.sum(), (trial, i)
+            assert [got[i] for got in took] == [covered.sum()] * 2, (trial, i)
+
+
+def test_suffix_dedup_hot_anchor(spark):
+    """One passage with other surroundings in every text, and one text repeated in full."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    passage = noise(150)
+    rows = [(i, noise(60 + i) + passage + noise(90)) for i in range(60)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[0], rows[7]], "doc_id long, text string").repartition(12)
+    for largest in (suffix_dedup.LARGEST, 8):
+        got = {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs, largest=largest).collect()}
+        assert all(n == 0 if i == 0 else 150 <= n < 160 for i, n in got) and len(got) == 60
 
 
 def test_longest_previous_factor():

@@ -20,7 +20,10 @@ anchors are equal, and no pair of texts has to be compared as a whole:
    that side's bytes; one that meets none is done. A suffix array
    over them, longest common prefixes, and the previous and next smaller
    positions in suffix order give the longest previous factor of each string
-   start; where it reaches LENGTH, the string goes.
+   start; where it reaches LENGTH, the string goes. Contexts of an anchor with
+   more than LARGEST of them are dealt into parts, each with an array of its own;
+   strings that are the first of their part meet the other parts' by a hash of
+   the string, one row a part at most, and all but the first go.
 4. Removed spans meet their texts, are merged, and the rest is hashed.
 
 The order of positions is (doc_id, start). Strings are judged on the input.
@@ -50,6 +53,8 @@ GRAM = 40
 SEGMENT = 1 << 21
 HELD = 1 << 20
 ARRAY_BYTES = 1 << 19
+#: Contexts of an anchor beyond which they are dealt into parts of about this many.
+LARGEST = 1 << 14
 _LEAST_ID = -(1 << 63)
 
 
@@ -141,6 +146,8 @@ _ROW = "kind byte, deal long, anchor long, context long, id long, pos long, lo l
 _ROW_NAMES = ["kind", "deal", "anchor", "context", "id", "pos", "lo", "hi"]
 #: A removed span (from pos to lo), an occurrence, and one whose anchor has several contexts.
 _SPAN, _SEEN, _MANY = 0, 1, 2
+#: A string that is the first of its part: anchor and context are the group's key and the string's hash, pos its start.
+_STRING = 3
 
 
 def _rows(kind, deal, anchor, context, ids, pos, lo, hi) -> pa.RecordBatch:
@@ -267,6 +274,11 @@ def sides(anchor: int, pos: int, lo: int, hi: int, raw: bytes, length: int, gram
     return out
 
 
+def _dealt_part(key: int, part: int) -> int:
+    """Where a group's part is dealt to; a negative part is the whole group."""
+    return key if part < 0 else xxhash.xxh64_intdigest(part.to_bytes(4, "little"), key) >> 1
+
+
 # --- suffix array -------------------------------------------------------------
 
 
@@ -324,8 +336,8 @@ def longest_previous(order: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return np.maximum(ahead, behind)
 
 
-def earlier_strings(anchor: np.ndarray, ids: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and starts of strings, among those of the contexts, that also start earlier with the same anchor."""
+def earlier_strings(anchor: np.ndarray, ids: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and start of each string of the contexts, and whether it also starts earlier with the same anchor."""
     sizes = np.array([len(c) for c in contexts])
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))
     _, run = np.unique(anchor, return_inverse=True)
@@ -347,56 +359,105 @@ def earlier_strings(anchor: np.ndarray, ids: np.ndarray, pos: np.ndarray, lo: np
     order = np.lexsort((at, ranks[-1][at]))
     shared = np.zeros(len(who), dtype=np.int64)
     shared[1:] = common_prefixes(ranks, at[order[:-1]], at[order[1:]])
-    hit = order[longest_previous(place[order], shared) >= length]
-    return ids[who[hit]], start[hit]
+    hit = np.zeros(len(who), dtype=bool)
+    hit[order[longest_previous(place[order], shared) >= length]] = True
+    return who, start, hit
+
+
+def _places(o: dict[str, np.ndarray]) -> np.ndarray:
+    """One row of each group, id and place: rows that repeat an id and a text bring their contexts repeatedly."""
+    order = np.lexsort((o["hi"], o["lo"], o["pos"], o["id"], o["anchor"], o["deal"]))
+    new = np.zeros(len(order), dtype=bool)
+    for k in ("deal", "anchor", "id", "pos", "lo", "hi"):
+        c = o[k][order]
+        new[1:] |= c[1:] != c[:-1]
+    new[:1] = True
+    return order[new]
+
+
+def _strings(o: dict[str, np.ndarray], who: np.ndarray, start: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of strings by their hash."""
+    for k in range(0, len(who), 1 << 16):
+        w, at = who[k : k + (1 << 16)], start[k : k + (1 << 16)]
+        off = at - o["pos"][w] + o["lo"][w]
+        names = np.fromiter((xxhash.xxh64_intdigest(o["bytes"][c][b : b + length]) for c, b in zip(w.tolist(), off.tolist())), dtype=np.uint64, count=len(w))
+        keys, none = o["anchor"][w], np.zeros(len(w), np.int64)
+        yield _rows(_STRING, mix(names ^ mix(keys.astype(np.uint64))), keys, names, o["id"][w], at, none, none)
 
 
 def compared(rows: DataFrame, length: int) -> DataFrame:
-    """Spans from contexts with their bytes, dealt by anchor."""
+    """Spans from contexts with their bytes, dealt by anchor and part; of contexts in parts, also the strings first there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for o in _runs_of(batches, "anchor"):
-            alone = np.ones(len(o["anchor"]), dtype=bool)
-            same = o["anchor"][1:] == o["anchor"][:-1]
+        for o in _runs_of(batches, "deal"):
+            o = {k: v[f] for f in [_places(o)] for k, v in o.items()}
+            alone = o["parted"] == 0
+            same = o["deal"][1:] == o["deal"][:-1]
             alone[1:] &= ~same
             alone[:-1] &= ~same
             o = {k: v[~alone] for k, v in o.items()}
-            if not len(o["anchor"]):
+            if not len(o["deal"]):
                 continue
-            edges = np.concatenate(([0], np.flatnonzero(o["anchor"][1:] != o["anchor"][:-1]) + 1, [len(o["anchor"])]))
+            edges = np.concatenate(([0], np.flatnonzero(o["deal"][1:] != o["deal"][:-1]) + 1, [len(o["deal"])]))
             size = np.concatenate(([0], np.cumsum([len(b) + 1 for b in o["bytes"]])))
             i = 0
             while i < len(edges) - 1:  # whole anchors, until an array is full
                 j = i + 1
                 while j < len(edges) - 1 and size[edges[j + 1]] - size[edges[i]] <= ARRAY_BYTES:
                     j += 1
-                s = slice(edges[i], edges[j])
-                ids, starts = earlier_strings(o["anchor"][s], o["id"][s], o["pos"][s], o["lo"][s], o["hi"][s], list(o["bytes"][s]), length)
-                if len(ids):
-                    yield _spans(ids, starts, starts + length)
+                g = {k: v[edges[i] : edges[j]] for k, v in o.items()}
+                who, start, hit = earlier_strings(g["anchor"], g["id"], g["pos"], g["lo"], g["hi"], list(g["bytes"]), length)
+                if hit.any():
+                    yield _spans(g["id"][who[hit]], start[hit], start[hit] + length)
+                more = ~hit & (g["parted"][who] != 0)
+                yield from _strings(g, who[more], start[more], length)
                 i = j
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, _ROW)
+    return rows.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, _ROW)
+
+
+def first_strings(rows: DataFrame, length: int) -> DataFrame:
+    """Spans of strings that an earlier part has, too; at most one row a part and string comes in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for o in _runs_of(batches, "deal"):
+            _, rest = _first_and_rest(o)
+            if len(rest):
+                yield _spans(o["id"][rest], o["pos"][rest], o["pos"][rest] + length)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, _ROW)
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST) -> DataFrame:
     """id, spans array<struct<a, b>> of the texts (id long, text) that lose bytes."""
     found = materialise(settled(anchors(texts, length, gram), length), "anchors")
-    asked = found.filter(F.col("kind") == _SEEN).groupBy("id").agg(F.collect_list(F.struct("anchor", "pos", "lo", "hi")).alias("asked"))
+    seen = found.filter(F.col("kind") == _SEEN).withColumn("part", F.lit(-1))
+    hot = seen.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > largest)
+    hot = materialise(hot.select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / largest).cast("int").alias("parts")), "hot-anchors")
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        part = F.coalesce(F.pmod(F.xxhash64("id", "pos"), F.col("parts")).cast("int"), F.lit(-1))
+        seen = seen.join(hot, seen["anchor"] == hot["hot_anchor"], "left").withColumn("part", part)
+    asked = seen.groupBy("id").agg(F.collect_list(F.struct("anchor", "pos", "lo", "hi", "part")).alias("asked"))
     held = asked.hint("shuffle_hash").join(texts.withColumnRenamed("id", "text_id"), F.col("id") == F.col("text_id")).select("id", "text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "id", "pos", "lo", "hi", "bytes"]
+        names = ["deal", "parted", "anchor", "id", "pos", "lo", "hi", "bytes"]
         for batch in batches:
             for doc, text, asked in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                rows = [(k, doc, p, lo, hi, part) for a in asked if a["pos"] - a["hi"] + length <= len(raw) for k, p, lo, hi, part in sides(a["anchor"], a["pos"], a["lo"], a["hi"], raw, length, gram)]
+                rows = [(_dealt_part(k, a["part"]), int(a["part"] >= 0), k, doc, p, lo, hi, beside) for a in asked if a["pos"] - a["hi"] + length <= len(raw) for k, p, lo, hi, beside in sides(a["anchor"], a["pos"], a["lo"], a["hi"], raw, length, gram)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
-    contexts = held.mapInArrow(cut, "anchor long, id long, pos long, lo long, hi long, bytes binary")
-    spans = found.filter(F.col("kind") == _SPAN).unionAll(compared(contexts, length))
+    contexts = held.mapInArrow(cut, "deal long, parted long, anchor long, id long, pos long, lo long, hi long, bytes binary")
+    spans = compared(contexts, length)
+    if any_hot:
+        both = materialise(spans, "compared")
+        spans = both.filter(F.col("kind") == _SPAN).unionAll(first_strings(both.filter(F.col("kind") == _STRING), length))
+    spans = found.filter(F.col("kind") == _SPAN).unionAll(spans)
     return spans.groupBy("id").agg(F.collect_list(F.struct(F.col("pos").alias("a"), F.col("lo").alias("b"))).alias("spans"))
 
 
@@ -412,14 +473,14 @@ def remove_spans(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     return kept, int((b - a).sum()), len(a)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; the kept bytes, if asked for.
 
     The id must be an integer, since matches are ordered by it.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST_ID)).alias("id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(texts, length, gram).withColumnRenamed("id", "span_id")
+    spans = repeated_spans(texts, length, gram, largest).withColumnRenamed("id", "span_id")
     kind = dict(docs.dtypes)[id_col]
 
     def run(batch: pa.RecordBatch) -> dict:
