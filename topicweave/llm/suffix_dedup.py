@@ -418,10 +418,17 @@ def compared(rows: DataFrame, length: int) -> DataFrame:
 
 
 def first_strings(rows: DataFrame, length: int) -> DataFrame:
-    """Spans of strings that an earlier part has, too; at most one row a part and string comes in."""
+    """The spans that come in, and those of strings that an earlier part has, too; a string comes once a part at most.
+
+    Spans pass through, so that nothing is written in between and the texts' exchange serves both joins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for o in _runs_of(batches, "deal"):
+            span = o["kind"] == _SPAN
+            if span.any():
+                yield _spans(o["id"][span], o["pos"][span], o["lo"][span])
+            o = {k: v[~span] for k, v in o.items()}
             _, rest = _first_and_rest(o)
             if len(rest):
                 yield _spans(o["id"][rest], o["pos"][rest], o["pos"][rest] + length)
@@ -455,8 +462,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
     contexts = held.mapInArrow(cut, "deal long, parted long, anchor long, id long, pos long, lo long, hi long, bytes binary")
     spans = compared(contexts, length)
     if any_hot:
-        both = materialise(spans, "compared")
-        spans = both.filter(F.col("kind") == _SPAN).unionAll(first_strings(both.filter(F.col("kind") == _STRING), length))
+        spans = first_strings(spans, length)
     spans = found.filter(F.col("kind") == _SPAN).unionAll(spans)
     return spans.groupBy("id").agg(F.collect_list(F.struct(F.col("pos").alias("a"), F.col("lo").alias("b"))).alias("spans"))
 
