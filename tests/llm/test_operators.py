@@ -225,6 +225,22 @@ def test_simhash(docs, rows, nothing, null_ids):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in ids if got[i]["component_id"] == i}
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """One row a component: clean rows without an id stay, and near copies that share an id do not both stay."""
+    rng = np.random.default_rng(11)
+    text = lambda n=300: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    clean, other, base, twice, mixed = (text() for _ in range(5))
+    rows = [(None, clean, "a"), (None, other, "a"), (1, base, "a"), (1, base + " one", "b"), (None, base + " two", "a"), (2, twice, "a"), (2, twice, "a"), (3, text(), "a"), (3, mixed, "a"), (2, mixed + " end", "c"), (None, None, "a"), (None, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = simhash.drop_near_duplicates(docs)
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert sum(i is None and t in (clean, other) for i, t, _ in got) == 2
+    assert sum(i == 1 and t.startswith(base) for i, t, _ in got) == 1 and not any(t == base + " two" for _, t, _ in got)
+    assert got.count((2, twice, "a")) == 1 and (2, mixed + " end", "c") in got and not any(t == mixed for _, t, _ in got)
+    assert sum(not t for _, t, _ in got) == 1 and len(got) == 7, got
+
+
 @pytest.mark.parametrize("largest", [1 << 15, 64])
 def test_simhash_links_lose_nothing(spark, largest):
     """Clusters, chains and a crowded group; with small groups split as well."""

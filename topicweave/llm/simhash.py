@@ -12,8 +12,11 @@ pair by pair in separate tasks. A task reports a spanning forest of what it
 links, never all pairs.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
-other; rows that repeat an id or a text share a component; an empty table gives
-an empty result; other columns of the input are ignored.
+other; rows that repeat a text share a component; an empty table gives an empty
+result; other columns of the input are ignored. Of each component one row stays
+in `drop_near_duplicates`, the one with the smallest id (null ids come last, so
+a document without an id stays unless another of its component does); where ids
+tie, the smallest SHA-256 of the text decides.
 """
 
 from __future__ import annotations
@@ -60,16 +63,21 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, digest: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long), and the text's SHA-256 if asked for."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
+    more = [text_digest(text_col).alias("digest")] if digest else []
 
     def run(batch: pa.RecordBatch) -> dict:
         found = [fingerprint(raw, shingle, seed) for raw in encoded(batch.column("text").to_pylist(), lower=True)]
-        return {"doc_id": batch.column("doc_id"), "fp": np.array(found, dtype=np.uint64).view(np.int64)}
+        return {"doc_id": batch.column("doc_id"), "fp": np.array(found, dtype=np.uint64).view(np.int64)} | ({"digest": batch.column("digest")} if digest else {})
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long")
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more), run, f"doc_id {kind}, fp long" + (", digest string" if digest else ""))
+
+
+def text_digest(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
 
 def block_masks(radius: int, agree: int) -> list[int]:
@@ -193,12 +201,17 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, largest: int = LAR
     return links.unionAll(_compare(paired, [*keys, "i", "j"], radius))
 
 
+def linked_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Each linked fingerprint a with the least fingerprint b of its component; nodes: distinct fp."""
+    stars = connected_components(fingerprint_links(nodes, radius))
+    return stars.unionAll(stars.select(F.col("b").alias("a"), "b").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (the smallest id it reaches, itself included)."""
     fps = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     firsts = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    stars = connected_components(fingerprint_links(firsts.select("fp"), radius))
-    whole = stars.unionAll(stars.select(F.col("b").alias("a"), "b").distinct())
+    whole = linked_fingerprints(firsts.select("fp"), radius)
     named = whole.join(firsts, whole["a"] == firsts["fp"]).select("fp", F.col("b").alias("root"), "first_id")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = named.join(least, "root").select(F.col("fp").alias("linked_fp"), "least_id")
@@ -212,7 +225,24 @@ def as_hex(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns it came with."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    """One row of each component, with the columns it came with.
+
+    Survivors are named by id and text. Where rows repeat both, one stays.
+    """
+    fps = materialise(fingerprints(docs, id_col, text_col, digest=True), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    firsts = materialise(fps.groupBy("fp").agg(F.min(row).alias("first")), "nodes")
+    whole = linked_fingerprints(firsts.select("fp"))
+    rooted = firsts.join(whole, firsts["fp"] == whole["a"], "left").select(F.coalesce("b", "fp").alias("root"), "first")
+    survivors = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__i"), F.col("first.digest").alias("__d"))
+    repeated = fps.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1")
+    survivors = survivors.join(repeated, F.col("__i").eqNullSafe(F.col("doc_id")) & (F.col("__d") == F.col("digest")), "left")
+    survivors = materialise(survivors.select("__i", "__d", F.col("n").isNotNull().alias("again")), "survivors")
+    marked = docs.withColumns({"__id": F.col(id_col), "__digest": text_digest(text_col)})
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d"))
+    once = marked.join(survivors.filter("not again"), same, "left_semi").select(*docs.columns)
+    again = survivors.filter("again")
+    if again.isEmpty():
+        return once
+    few = marked.join(again, same, "left_semi").groupBy("__id", "__digest").agg(F.max(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return once.unionAll(few.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
