@@ -412,6 +412,27 @@ def test_secret_forest(spark, docs, rows, nothing, null_ids):
     assert secret_forest.findings(null_ids, labelled).count() == 0
 
 
+def test_secret_forest_key_value_forms(spark):
+    """The key and its sign stay outside a candidate; padding stays inside; a key that is a run itself is seen before its value."""
+    hexed = hashlib.sha256(b"v").hexdigest()
+    values = {0: "Tr0ub4dor3xKq92mZ1", 1: hexed[:32], 2: hexed[:40], 3: "c2VjcmV0IHZhbHVlIDEyMw==", 4: hexed[8:40], 6: "c2VjcmV0MDEyMw=="}
+    texts = [(0, f"password={values[0]}"), (1, f"API_KEY={values[1]}"), (2, f"curl https://x.org/a?user=me&access_token={values[2]} now"), (3, f"client_secret={values[3]}"), (4, f"PROD_DB_2_CLIENT_SECRET={values[4]}"), (5, "guid=123e4567-e89b-12d3-a456-426614174000"), (6, f"password={values[6]}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labelled = secret_forest.synthetic_findings(spark)
+    found = secret_forest.findings(docs, labelled).cache()
+    got = {(r["doc_id"], r["candidate_sha256"]): r for r in found.collect()}
+    for i, v in values.items():
+        r = got[i, hashlib.sha256(v.encode()).hexdigest()]
+        assert (r["start"], r["length"]) == (texts[i][1].index(v), len(v)) and r["is_secret"], (i, r)
+    assert len(got) == 8 and {i for (i, _), r in got.items() if r["is_secret"]} == set(values)
+    clean = {r["doc_id"]: r["text"] for r in secret_forest.redact(docs, found).collect()}
+    assert clean[0] == "password=<secret>" and clean[4] == "PROD_DB_2_CLIENT_SECRET=<secret>" and clean[5] == texts[5][1]
+    # What the forest learns from is what candidates finds in the texts.
+    again = secret_forest.candidates(labelled.select("is_secret", secret_forest.F.concat("before", "candidate", "after").alias("text")), "is_secret")
+    assert again.select("before", "candidate", "after").exceptAll(labelled.select("before", "candidate", "after")).count() == 0
+    assert labelled.filter("before like '%password='").count() > 0 and {r["is_secret"] for r in labelled.select("is_secret").distinct().collect()} == {0, 1}
+
+
 def test_secret_forest_holds_out(spark):
     labelled = secret_forest.synthetic_findings(spark, 3000)
     train, rest = labelled.randomSplit([0.7, 0.3], seed=1)

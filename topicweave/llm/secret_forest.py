@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A run of at least 16 key characters that holds a digit.
-CANDIDATE = "(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}+"
+from .common import materialise
+
+#: A run of at least 16 key characters that holds a digit. An equals sign belongs to it only as padding at its end.
+CANDIDATE = "(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?:[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?|[A-Za-z0-9_+/-]{15}={1,2}(?![A-Za-z0-9_+/=-])|[A-Za-z0-9_+/-]{14}==(?![A-Za-z0-9_+/=-]))"
 BEFORE, AFTER = 48, 24
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 30, 7, 7
@@ -54,9 +56,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     source = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cut = source.filter(text.rlike(CANDIDATE)).select("row_key", "doc_id", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(text, CANDIDATE, -1).alias("gaps"))
     n = F.size("found")
-    zipped = F.arrays_zip("found", F.slice("gaps", 1, n).alias("gap"), F.slice("gaps", 2, n).alias("next"))
-    rows = cut.select("row_key", "doc_id", F.posexplode(zipped)).select("row_key", "doc_id", "pos", F.col("col.found").alias("candidate"), F.col("col.gap").alias("gap"), F.col("col.next").alias("next"))
-    slim = rows.select("row_key", "doc_id", "pos", "candidate", F.length("gap").alias("gap_length"), F.right("gap", F.lit(BEFORE)).alias("before"), F.left("next", F.lit(AFTER)).alias("after"))
+    # A gap can be a lone equals sign, after a name that is a run itself; what is before a run then holds that name.
+    zipped = F.arrays_zip("found", F.slice("gaps", 1, n).alias("gap"), F.slice("gaps", 2, n).alias("next"), F.slice(F.concat(F.array(F.lit("")), "found"), 1, n).alias("last"))
+    rows = cut.select("row_key", "doc_id", F.posexplode(zipped)).select("row_key", "doc_id", "pos", F.col("col.found").alias("candidate"), F.col("col.gap").alias("gap"), F.col("col.next").alias("next"), F.col("col.last").alias("last"))
+    slim = rows.select("row_key", "doc_id", "pos", "candidate", F.length("gap").alias("gap_length"), F.right(F.concat("last", "gap"), F.lit(BEFORE)).alias("before"), F.left("next", F.lit(AFTER)).alias("after"))
     upto = W.partitionBy("row_key").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     start = F.sum(F.col("gap_length") + F.length("candidate")).over(upto) - F.length("candidate")
     return slim.select("doc_id", start.cast("long").alias("start"), "candidate", "before", "after")
@@ -87,7 +90,10 @@ def featured(found: DataFrame) -> DataFrame:
 
 
 def synthetic_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFrame:
-    """Labelled findings by rule: before, candidate, after, is_secret. Six kinds of secrets, eight of others."""
+    """Labelled findings by rule: before, candidate, after, is_secret. Six kinds of secrets, nine of others.
+
+    They are what `candidates` finds in n texts made by these rules, so that a form is learned as documents show it.
+    """
     i = F.col("id")
     hexed = lambda salt, size: F.substring(F.sha2(F.concat(F.lit(salt), i.cast("string")).cast("binary"), 256), 1, size)
     sixty = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i.cast("string")).cast("binary"), 256))), "[+/=]", "7")
@@ -110,13 +116,17 @@ def synthetic_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFram
         (F.concat(prose, say(" request id ", " uuid ", " guid=", " id: ")), F.concat_ws("-", hexed("u", 8), hexed("v", 4), hexed("w", 4), hexed("x", 4), hexed("y", 12)), F.lit(" "), 0),
         (F.concat(prose, say(" ", " of ", " the ")), F.concat(word(5), word(6), word(7), F.substring(digits, 1, 3)), F.lit("."), 0),
         (F.concat(prose, say(" ", " phone ", " serial ", " at ")), F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 4), F.substring(digits, 9, 2), F.substring(digits, 11, 6)), F.lit(" "), 0),
+        (F.concat(prose, say(" ", " export ", " set ", "; ")), F.concat_ws("_", F.upper(word(6)), F.substring(digits, 1, 1), say("PROD", "DB", "AWS", "MAIN"), say("SECRET", "TOKEN", "KEY", "PASSWORD")), F.lit('="'), 0),
     ]
     pick = F.pmod(i, F.lit(len(kinds)))
     row = None
     for k, (before, candidate, after, label) in enumerate(kinds):
         made = F.struct(before.alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(label).alias("is_secret"))
         row = F.when(pick == k, made) if row is None else row.when(pick == k, made)
-    return spark.range(n).select(row.alias("r")).select("r.*")
+    texts = spark.range(n).select(row.alias("r")).select("r.is_secret", F.concat("r.before", "r.candidate", "r.after").alias("text"))
+    # Written first, the rules are not compiled again into each use of a text.
+    found = candidates(materialise(texts, "synthetic-texts"), "is_secret")
+    return materialise(found.select("before", "candidate", "after", F.col("doc_id").alias("is_secret")), "synthetic-findings")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
