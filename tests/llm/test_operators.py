@@ -160,6 +160,23 @@ def test_tokens_equal_the_tokenizers_library():
         assert encode(text) + [0] == reference_tokens(text)
 
 
+def test_packing_queries_take_added_tokens_as_the_file_has_them(spark, tmp_path):
+    """The registered query and the pipeline's stage give the ids of the tokenizers file at its defaults."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from topicweave.llm import queries
+
+    default = Tokenizer.from_file(BPE)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "it's plain", "end<|endoftext|>\n\n  x", "<|endoftext |> é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: np.array([*default.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for i, t in enumerate(texts)}
+    assert 50256 in want[0]
+    for got in (queries.op3_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got.collect()} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def test_quality_ranking(spark, nothing, null_ids):
     rng = np.random.default_rng(3)
     words = [f"{a}{b}" for a in ("ba", "ro", "ti", "mu") for b in ("len", "sta", "ver", "dor")]

@@ -10,7 +10,9 @@ Only the histogram, at most one number per length, reaches the driver. Pieces
 find their place by their rank among pieces of their length, which is counted
 in two steps so that a length shared by most pieces is no single task's load.
 
-Defined results: a null or empty text is one end token; rows that repeat an id
+Defined results: with `added`, an added token written out in a text is that one
+token, as the tokenizers file has it by default (the queries ask for this); else
+it is spelled out. A null or empty text is one end token; rows that repeat an id
 are packed each for itself; an empty table gives an empty result; other columns
 of the input are ignored.
 """
@@ -58,16 +60,19 @@ _PROBE = ["It's 2024: naïve café, 東京 🚀!\n\n  two  spaces\tand tabs <|en
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """A function from text to ids of the tokenizers file at path.
 
-    The file's own vocabulary also drives a faster library with the same merge
-    rule; it is used where it gives the same ids on a set of awkward texts.
+    With `added`, an added token written out in a text is that token, as the
+    file's defaults have it; else it is spelled out like any other text. The
+    file's own vocabulary also drives a faster library with the same merge rule;
+    it is used where it gives the same ids on a set of awkward texts.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    slow.encode_special_tokens = not added
+    tokens = [t for t in slow.get_added_tokens_decoder().values() if added or not t.special]
     plain = lambda text: slow.encode(text, add_special_tokens=False).ids
     try:
         import tiktoken
@@ -78,11 +83,13 @@ def encoder(path: str):
         ranks = {bytes(symbols[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         fast = tiktoken.Encoding("file", pat_str=split, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        if all(fast(t) == plain(t) for t in _PROBE):
+        written = [t.content for t in tokens]
 
-            def both(text: str) -> list[int]:
-                # A very long run without a break is slow to merge in the fast library.
-                return fast(text) if len(text) < 1_000_000 else plain(text)
+        def both(text: str) -> list[int]:
+            # A very long run without a break is slow to merge in the fast library, and added tokens are unknown to it.
+            return plain(text) if len(text) >= 1_000_000 or any(w in text for w in written) else fast(text)
+
+        if slow.normalizer is None and all(both(t) == plain(t) for t in _PROBE):
 
             return both
     except (ImportError, KeyError, ValueError):
@@ -90,13 +97,13 @@ def encoder(path: str):
     return plain
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, and its ids as bytes if asked for."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batch: pa.RecordBatch) -> dict:
-        encode, out = encoder(tokenizer), defaultdict(list)
+        encode, out = encoder(tokenizer, added), defaultdict(list)
         rows = []
         for row, text in enumerate(batch.column("text").to_pylist()):
             ids = np.array([*(encode(text) if text else ()), end_id], dtype="<u4")
@@ -290,10 +297,10 @@ def ranked(pieces: DataFrame, total: int) -> DataFrame:
     return salted.withColumn("own", own).join(offsets, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("offset_rank")).drop("salt", "own", "offset_rank")
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece."""
     spark = docs.sparkSession
-    pieces = materialise(token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids, added), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     places = spark.sparkContext.broadcast(_Places(pack_histogram(histogram, capacity)))  # bounded by rounds and lengths, not by rows
     at = ranked(pieces, sum(histogram.values()))

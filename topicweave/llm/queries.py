@@ -29,7 +29,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), added=True)
 
 
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
