@@ -8,9 +8,9 @@ yields on UTF-8, so no regular expression is needed for them in Python.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
 #: Rows of an Arrow batch sent to Python; with long texts 10,000 are too many.
 ARROW_ROWS = 256
+ARROW_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,27 +34,62 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    # Read when a plan runs, which is after this returns; so they stay set for the session. Smaller settings are left as they are.
+    for key, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").lower().removesuffix("b"))
+        if not 0 < now <= value:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Larger Arrow batches for plans that run inside, over short rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where it is unset (tests)."""
+    """The cluster's checkpoint folder; below the warehouse, which is shared too, only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="topicweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write Parquet into the shared folder and read it again.
 
-    A lost executor then costs a re-read, never a recomputation of the past.
+    A lost executor then costs a re-read, never a recomputation of the past. The
+    table is removed when it is released, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, place = _file_system(spark, path)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of `materialise` that nothing will read again."""
+    for t in tables:
+        fs, place = _file_system(t.sparkSession, t.stored_at)
+        fs.delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def as_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns as one struct, so that no working column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
 def bucket_of(column: str, modulus: int) -> Column:
