@@ -12,7 +12,9 @@ pair by pair in separate tasks. A task reports a spanning forest of what it
 links, never all pairs.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
-other; rows that repeat a text share a component; an empty table gives an empty
+other; a very long text's shingles are all counted, a block at a time; a bit set
+in exactly half of the hashes (a tie) is 0; in `near_duplicates` a null id is
+passed over for the component's smallest id unless there is no other; rows that repeat a text share a component; an empty table gives an empty
 result; other columns of the input are ignored. Of each component one row stays
 in `drop_near_duplicates`, the one with the smallest id (null ids come last, so
 a document without an id stays unless another of its component does); where ids
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, encoded, materialise, prepare
+from .common import arrow_map, as_row, encoded, materialise, prepare
 from .components import connected_components
 
 SHINGLE = 4
@@ -213,7 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     whole = linked_fingerprints(firsts.select("fp"), radius)
     named = whole.join(firsts, whole["a"] == firsts["fp"]).select("fp", F.col("b").alias("root"), "first_id")
-    least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = materialise(named, "named")
+    least = materialise(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "least")  # written, so that a large component's rows can be split over tasks
     linked = named.join(least, "root").select(F.col("fp").alias("linked_fp"), "least_id")
     nodes = firsts.join(linked, firsts["fp"] == linked["linked_fp"], "left").select(F.col("fp").alias("node"), F.coalesce("least_id", "first_id").alias("component_id"))
     nodes = materialise(nodes, "components")  # both sides of the join are then plain exchanges, and a hot fingerprint can be split
@@ -225,24 +228,24 @@ def as_hex(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with the columns it came with.
+    """One row of each component, with the columns it came with, whatever their names and types.
 
-    Survivors are named by id and text. Where rows repeat both, one stays.
+    Survivors are named by id and text. Where rows repeat both, one stays: the one whose columns come last as JSON.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, digest=True), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     firsts = materialise(fps.groupBy("fp").agg(F.min(row).alias("first")), "nodes")
     whole = linked_fingerprints(firsts.select("fp"))
     rooted = firsts.join(whole, firsts["fp"] == whole["a"], "left").select(F.coalesce("b", "fp").alias("root"), "first")
-    survivors = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__i"), F.col("first.digest").alias("__d"))
+    survivors = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
     repeated = fps.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1")
-    survivors = survivors.join(repeated, F.col("__i").eqNullSafe(F.col("doc_id")) & (F.col("__d") == F.col("digest")), "left")
-    survivors = materialise(survivors.select("__i", "__d", F.col("n").isNotNull().alias("again")), "survivors")
-    marked = docs.withColumns({"__id": F.col(id_col), "__digest": text_digest(text_col)})
-    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d"))
-    once = marked.join(survivors.filter("not again"), same, "left_semi").select(*docs.columns)
+    survivors = survivors.join(repeated, F.col("kept_id").eqNullSafe(F.col("doc_id")) & (F.col("kept_digest") == F.col("digest")), "left")
+    survivors = materialise(survivors.select("kept_id", "kept_digest", F.col("n").isNotNull().alias("again")), "survivors")
+    rows = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("own_id"), text_digest(text_col).alias("own_digest"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest"))
+    once = rows.join(survivors.filter("not again"), same, "left_semi").select("row.*")
     again = survivors.filter("again")
     if again.isEmpty():
         return once
-    few = marked.join(again, same, "left_semi").groupBy("__id", "__digest").agg(F.max(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
-    return once.unionAll(few.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+    few = rows.join(again, same, "left_semi").groupBy("own_id", "own_digest").agg(F.max_by("row", F.to_json("row")).alias("row"))
+    return once.unionAll(few.select("row.*"))
