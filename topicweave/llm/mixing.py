@@ -5,18 +5,20 @@ and a document is emitted floor(rate) times plus once more when a hash of its
 id falls below the fraction. The hash is MD5 over seed and id, so reruns and
 other engines draw the same copies.
 
-Defined results: a null text has size 0 and is emitted like any other; a null
-source is a source of its own, after all others; rows repeated in full are each
-emitted by the same draw; an empty table gives an empty result.
+Defined results: a null text has size 0 and is emitted like any other; a very
+long text is counted whole; a null source is a source of its own, after all
+others; rows that share an id, or have none, share their draw, so rows repeated in
+full are each emitted alike; a source whose share equals its cap (a tie) is
+capped, which gives the same target; an empty table gives an empty result; columns
+of any other name come back unchanged.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, as_row, materialise
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -29,35 +31,42 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _placed(per: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """Sources with their weight by place in code point order; places are counted by partition, so no task holds all sources."""
+    n = len(weights)
+    low = F.lit((1 << 33) - 1)
+    sorted_ = per.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id())
+    sorted_ = materialise(sorted_.withColumns({"part": F.shiftright("at", 33), "own": F.col("at").bitwiseAND(low)}), "sources")
+    before, offsets = 0, []
+    for r in sorted_.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row a partition
+        offsets.append((r["part"], before % n))
+        before += r["n"]
+    table = per.sparkSession.createDataFrame(offsets, "part long, before long")
+    place = F.pmod(F.col("own") + F.col("before"), F.lit(n)).cast("int")
+    return sorted_.join(F.broadcast(table), "part").select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), place + 1).cast("long").alias("weight"))
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """Per source: source, source_size, target. `sized` has source and size.
 
-    Targets t = min(most * size, level * weight) with the level at which they
-    add up to all sizes: what resharing the excess until none is above ends in.
-    Sources enter the cap in the order of most * size / weight, so that the
-    level is found by one running sum over sources.
+    Targets are min(most * size, level * weight) with the level at which they add
+    up to all sizes: what resharing the excess until none is above ends in. Each
+    round shares what capped sources leave among the others and caps those above,
+    in exact numbers; rounds are sums over sources, and end when none is added.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    n = len(weights)
-    weighed = per.withColumn("place", F.row_number().over(order) - 1).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % n + 1).cast("int")).cast("long"))
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    # A source is capped if the level without it and those before it still exceeds its cap; exact in integers.
-    rising = W.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("place").asc())
-    before = rising.rowsBetween(W.unboundedPreceding, -1)
-    walked = weighed.withColumns({
-        "cap": (F.col("source_size") * most).cast("decimal(30,0)"),
-        "total": F.sum(F.col("source_size").cast("decimal(30,0)")).over(every),
-        "capped_before": F.coalesce(F.sum((F.col("source_size") * most).cast("decimal(30,0)")).over(before), F.lit(0).cast("decimal(30,0)")),
-        "weight_left": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
-    })
-    walked = walked.withColumn("is_capped", (F.col("total") - F.col("capped_before")) * F.col("weight") >= F.col("cap") * F.col("weight_left"))
-    level = walked.withColumns({
-        "rest": F.col("total") - F.coalesce(F.sum(F.when(F.col("is_capped"), F.col("cap"))).over(every), F.lit(0)),
-        "rest_weight": F.coalesce(F.sum(F.when(~F.col("is_capped"), F.col("weight"))).over(every), F.lit(0)),
-    })
-    target = F.when(F.col("is_capped"), F.col("cap").cast("double")).otherwise((F.col("rest") * F.col("weight")).cast("double") / F.col("rest_weight").cast("double"))
-    return level.select("source", "source_size", target.alias("target"))
+    placed = _placed(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    whole = placed.withColumns({"cap": (F.col("source_size") * most).cast("decimal(25,0)"), "source_size": F.col("source_size").cast("long")})
+    total, weight, n = whole.agg(F.sum(F.col("source_size").cast("decimal(25,0)")), F.sum("weight"), F.count("*")).first()
+    rest, rest_weight, capped = int(total or 0), int(weight or 0), 0
+    exact = lambda v: F.lit(str(v)).cast("decimal(25,0)")
+    while True:
+        is_capped = exact(rest) * F.col("weight").cast("decimal(12,0)") >= F.col("cap") * exact(rest_weight).cast("decimal(12,0)")
+        size, gone, now = whole.filter(is_capped).agg(F.sum("cap"), F.sum("weight"), F.count("*")).first()
+        if now == capped:
+            break
+        rest, rest_weight, capped = int(total) - int(size or 0), int(weight) - int(gone or 0), now
+    shared = (exact(rest) * F.col("weight").cast("decimal(12,0)")).cast("double") / F.lit(float(max(rest_weight, 1)))
+    return whole.select("source", "source_size", F.when(is_capped, F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
 def draw(key: Column, seed: str = SEED) -> Column:
@@ -67,21 +76,19 @@ def draw(key: Column, seed: str = SEED) -> Column:
 
 
 def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
-    """The input with __size, __source_size, __target and __copies, the times the mix takes each row."""
-    sized = docs.withColumn("__size", word_count(F.col(text_col)))
-    targets = source_targets(sized.select(F.col(source_col).alias("source"), F.col("__size").alias("size")), weights, most)
-    targets = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    """row (the input's columns as one struct), doc_id, size, source_size, target, and copies: the times the mix takes the row."""
+    sized = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
     # A row per source: sent to the rows if there are few, else joined, with hot sources left to adaptive splitting.
-    targets = materialise(targets, "targets")
+    targets = materialise(source_targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "target_source"), "targets")
     few = targets.count() <= MOST_SENT
-    joined = sized.join(F.broadcast(targets) if few else targets, F.col(source_col).eqNullSafe(F.col("__source")))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(1.0))
+    joined = sized.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("target_source")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     whole = F.floor(rate)
-    copies = whole + F.when(draw(F.col(id_col), seed) < rate - whole, 1).otherwise(0)
-    return joined.withColumn("__copies", copies.cast("long")).drop("__source")
+    copies = whole + F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
+    return joined.select("row", "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: each row as often as the mix takes it, with the input's columns."""
-    taken = with_copies(docs, **options).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    taken = with_copies(docs, **options).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
