@@ -28,10 +28,13 @@ anchors are equal, and no pair of texts has to be compared as a whole:
 
 The order of positions is (doc_id, start). Strings are judged on the input.
 
-Defined results: a null text is empty; a text shorter than LENGTH stays; rows
+Defined results: a null text is empty; a text shorter than LENGTH stays; a very
+long text is scanned in segments that overlap, and its spans, a list no longer
+than the text, meet it whole; ids may be of any type that can be ordered; rows
 that repeat an id and a text are judged as one document; rows that repeat an id
-with other texts share what is removed by position; a null id comes first; an
-empty table gives an empty result; other columns are ignored.
+with other texts are documents of their own, which come in the order of their
+texts' SHA-256; documents without an id come before all others, in that order,
+too; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import arrow_map, materialise, mix, powers, prefix_sums, prepare
 
@@ -55,7 +59,8 @@ HELD = 1 << 20
 ARRAY_BYTES = 1 << 19
 #: Contexts of an anchor beyond which they are dealt into parts of about this many.
 LARGEST = 1 << 14
-_LEAST_ID = -(1 << 63)
+#: Rows a task may have on the built side of a hash join.
+MOST_BUILT = 1 << 20
 
 
 def _windows(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -448,7 +453,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
         part = F.coalesce(F.pmod(F.xxhash64("id", "pos"), F.col("parts")).cast("int"), F.lit(-1))
         seen = seen.join(hot, seen["anchor"] == hot["hot_anchor"], "left").withColumn("part", part)
     asked = seen.groupBy("id").agg(F.collect_list(F.struct("anchor", "pos", "lo", "hi", "part")).alias("asked"))
-    held = asked.hint("shuffle_hash").join(texts.withColumnRenamed("id", "text_id"), F.col("id") == F.col("text_id")).select("id", "text", "asked")
+    held = hashed(asked, found).join(texts.withColumnRenamed("id", "text_id"), F.col("id") == F.col("text_id")).select("id", "text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["deal", "parted", "anchor", "id", "pos", "lo", "hi", "bytes"]
@@ -464,7 +469,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
     if any_hot:
         spans = first_strings(spans, length)
     spans = found.filter(F.col("kind") == _SPAN).unionAll(spans)
-    return spans.groupBy("id").agg(F.collect_list(F.struct(F.col("pos").alias("a"), F.col("lo").alias("b"))).alias("spans"))
+    return hashed(spans.groupBy("id").agg(F.collect_list(F.struct(F.col("pos").alias("a"), F.col("lo").alias("b"))).alias("spans")), found)
+
+
+def hashed(side: DataFrame, found: DataFrame) -> DataFrame:
+    """The side as the built one of a hash join, which spares sorting the texts, where a task's share of `found` is small; else a sorted join."""
+    n = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return side.hint("shuffle_hash") if found.count() <= MOST_BUILT * n else side
 
 
 def remove_spans(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -479,24 +490,38 @@ def remove_spans(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     return kept, int((b - a).sum()), len(a)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST, keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; the kept bytes, if asked for.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (long, a document's place in the order), doc_id and text of every row.
 
-    The id must be an integer, since matches are ordered by it.
+    Where ids are whole numbers, none null and none twice, they are the places. Else documents are pairs of id
+    and text, sorted by id (null first) and SHA-256 of the text, and numbered in that order.
     """
+    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    if isinstance(named.schema["doc_id"].dataType, IntegralType):
+        times = named.groupBy("doc_id").agg(F.count("*").alias("n"))
+        if times.filter("n > 1 or doc_id is null").isEmpty():
+            return named.select(F.col("doc_id").cast("long").alias("id"), "doc_id", "text")
+    marked = named.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    ordered = marked.select(F.col("doc_id").alias("own"), F.col("digest").alias("own_digest")).distinct().orderBy(F.col("own").asc_nulls_first(), "own_digest")
+    places = materialise(ordered.withColumn("id", F.monotonically_increasing_id()), "places")
+    return marked.join(places, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("own_digest"))).select("id", "doc_id", "text")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST, keep_bytes: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; the kept bytes, if asked for."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST_ID)).alias("id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(texts, length, gram, largest).withColumnRenamed("id", "span_id")
-    kind = dict(docs.dtypes)[id_col]
+    texts = keyed(docs, id_col, text_col)
+    spans = repeated_spans(texts.select("id", "text"), length, gram, largest).withColumnRenamed("id", "span_id")
+    kind = dict(texts.dtypes)["doc_id"]
 
     def run(batch: pa.RecordBatch) -> dict:
         raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
         done = [remove_spans(r, s or []) for r, s in zip(raws, batch.column("spans").to_pylist())]
         out = {
-            "doc_id": [None if i == _LEAST_ID else i for i in batch.column("id").to_pylist()], "n_bytes": [len(r) for r in raws],
+            "doc_id": batch.column("doc_id"), "n_bytes": [len(r) for r in raws],
             "n_removed": [d[1] for d in done], "n_spans": [d[2] for d in done], "kept_sha256": [hashlib.sha256(d[0]).hexdigest() for d in done],
         }
         return out | ({"kept_bytes": [d[0] for d in done]} if keep_bytes else {})
 
-    joined = texts.join(spans.hint("shuffle_hash"), texts["id"] == spans["span_id"], "left").select("id", "text", "spans")
+    joined = texts.join(spans, texts["id"] == spans["span_id"], "left").select("doc_id", "text", "spans")
     return arrow_map(joined, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if keep_bytes else ""))
