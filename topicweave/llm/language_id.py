@@ -10,31 +10,35 @@ megabytes of text at a time, all positions of all words at once in numpy.
 Learning reads a sample of at most about TRAIN_ROWS rows a language, chosen by
 a hash of the id; scoring reads every whole text.
 
-Defined results: a null text, or one without a letter, is `und` with score 0;
-rows repeated in full are scored alike; ties go to the language first in code
-point order; with no labelled row every text is `und`; an empty table gives an
-empty result; other columns of the input are ignored.
+Defined results: a null text, or one without a letter, is `und` with score 0; a
+word of any length is summed over all its segmentations; rows without an id are
+not held out, are learned from, and are sampled by their text; rows repeated in
+full are scored alike; ties go to the language first in code point order; with
+no labelled row every text is `und`; an empty table gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, arrow_map, bucket_of, materialise, mix, powers, prefix_sums, prepare, word_spans
+from .common import CHUNK_BYTES, arrow_map, arrow_rows, bucket_of, materialise, mix, powers, prefix_sums, prepare
 
 TRAIN_ROWS = 3000
 MODULUS, HELD_OUT = 4, 2
 ROUNDS = 3
-#: Longest piece in bytes; a word is cut after so many bytes, and a character outside the vocabulary has this probability in any language.
-LONGEST = 16
+#: Words up to so many bytes are summed side by side, longer ones each by itself. Sums are scaled by SCALE a byte, so that none runs out of range.
 WORD_BYTES = 64
+SCALE = 8192.0
+#: A character outside the vocabulary has this probability in any language.
 UNKNOWN = 1e-8
 SMOOTHING = 0.01
 #: Words whose scores a worker keeps.
@@ -42,7 +46,15 @@ CACHED = 250_000
 UND = "und"
 #: The pipeline keeps texts with at least this score.
 LEAST_SCORE = 0.5
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _not_letters() -> re.Pattern:
+    """Runs of anything but letters: what is no word character, digits, and signs that count as alphanumeric but are no letters (½, ², Ⅳ)."""
+    signs = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W\d_{signs}]+")
+
+
+_NOT_LETTERS = _not_letters()
 #: Word start in the vocabulary.
 MARK = "▁"
 
@@ -51,7 +63,7 @@ class Index:
     """Finds pieces by hash: a wide table of first candidates, and a narrow one of those whose place was taken."""
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
-        self.hashes, self.sizes = hashes, sizes
+        self.hashes, self.sizes, self.longest = hashes, sizes, int(sizes.max(initial=4))
         self.wide = np.zeros(1 << 22, dtype=np.int32)
         at = (hashes & np.uint64((1 << 22) - 1)).astype(np.int64)
         self.wide[at] = np.arange(len(hashes))
@@ -86,9 +98,7 @@ def vocabulary(path: str) -> Index:
         piece = sp.id_to_piece(i)
         body = piece.removeprefix(MARK)
         if not sp.is_control(i) and not sp.is_byte(i) and not sp.is_unknown(i) and (body.isalpha() and body == body.lower() or piece == MARK):
-            raw = piece.replace(MARK, " ").encode()
-            if len(raw) <= LONGEST:
-                found.add(raw)
+            found.add(piece.replace(MARK, " ").encode())
     pieces = sorted(found)
     hashes = np.array([_hash_of(p) for p in pieces], dtype=np.uint64)
     order = np.argsort(hashes)
@@ -108,23 +118,6 @@ def letters(text: str | None) -> bytes:
     return raw
 
 
-def _segments(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words after a space, long ones cut between characters; the word of each segment."""
-    out, owner = [], []
-    for k, w in enumerate(words):
-        w = b" " + w
-        while len(w) > WORD_BYTES:
-            cut = WORD_BYTES
-            while w[cut] & 0xC0 == 0x80:
-                cut -= 1
-            out.append(w[:cut])
-            owner.append(k)
-            w = w[cut:]
-        out.append(w)
-        owner.append(k)
-    return out, np.array(owner, dtype=np.int64)
-
-
 def lattice(block: np.ndarray, index: Index) -> dict[tuple[int, int], np.ndarray]:
     """For words of equal length (rows of bytes): piece of each row at (start, end); -1 none, -2 an unknown character."""
     n, width = block.shape
@@ -136,7 +129,7 @@ def lattice(block: np.ndarray, index: Index) -> dict[tuple[int, int], np.ndarray
     chars = np.where(lead < 0x80, 1, np.where(lead < 0xC0, 0, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))))
     found = {}
     for start in range(width):
-        for end in range(start + 1, min(width, start + LONGEST) + 1):
+        for end in range(start + 1, min(width, start + index.longest) + 1):
             size = end - start
             h = mix((sums[at + end] - sums[at + start]) * down[at + start] ^ (np.uint64(size) << np.uint64(40)))
             piece = index.find(h, size)
@@ -148,11 +141,11 @@ def lattice(block: np.ndarray, index: Index) -> dict[tuple[int, int], np.ndarray
 
 
 def forward(grid: dict, width: int, n: int, table: np.ndarray) -> np.ndarray:
-    """Sums over segmentations of all prefixes: (n, width + 1, languages). The table's last two rows are unknown and none."""
+    """Sums over segmentations of all prefixes, SCALE a byte: (n, width + 1, languages). The table's last two rows are unknown and none."""
     alpha = np.zeros((n, width + 1, table.shape[1]))
     alpha[:, 0] = 1
     for (start, end), piece in sorted(grid.items(), key=lambda e: e[0][1]):
-        alpha[:, end] += alpha[:, start] * table[piece]
+        alpha[:, end] += alpha[:, start] * (table[piece] * SCALE ** (end - start))
     return alpha
 
 
@@ -160,31 +153,102 @@ def backward(grid: dict, width: int, n: int, table: np.ndarray) -> np.ndarray:
     beta = np.zeros((n, width + 1, table.shape[1]))
     beta[:, width] = 1
     for (start, end), piece in sorted(grid.items(), key=lambda e: -e[0][0]):
-        beta[:, start] += table[piece] * beta[:, end]
+        beta[:, start] += (table[piece] * SCALE ** (end - start)) * beta[:, end]
     return beta
 
 
-def _blocks(segments: list[bytes]):
-    """Segments of equal length as arrays of bytes, and where they come from."""
-    lengths = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
+def long_edges(raw: bytes, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and piece (-2 unknown) of all pieces in one word, by end."""
+    buf = np.frombuffer(raw, dtype=np.uint8)
+    sums, n = prefix_sums(buf), len(buf)
+    _, down = powers(n + 1)
+    chars = np.where(buf < 0x80, 1, np.where(buf < 0xC0, 0, np.where(buf < 0xE0, 2, np.where(buf < 0xF0, 3, 4))))
+    found = []
+    for size in range(1, min(n, index.longest) + 1):
+        at = np.arange(n - size + 1)
+        piece = index.find(mix((sums[at + size] - sums[at]) * down[at] ^ (np.uint64(size) << np.uint64(40))), size)
+        if size <= 4:
+            piece[(piece < 0) & (chars[at] == size)] = -2
+        hit = at[piece != -1]
+        found.append((hit, hit + size, piece[hit]))
+    start, end, piece = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(end, kind="stable")
+    return start[order], end[order], piece[order]
+
+
+def long_sums(raw: bytes, table: np.ndarray, index: Index, both: bool = False):
+    """Log probability of one word of any length, by language; with `both`, also each edge's piece and expected number of uses.
+
+    Positions are met one after another; each is rescaled by its largest value, whose logs are kept.
+    """
+    n, k = len(raw), table.shape[1]
+    start, end, piece = long_edges(raw, index)
+    p = table[piece]
+    cuts = np.searchsorted(end, np.arange(n + 2))
+    alpha, shift = np.zeros((n + 1, k)), np.full((n + 1, k), -np.inf)
+    alpha[0], shift[0] = 1.0, 0.0
+
+    def gather(value, logs, other, q):
+        """One position from its neighbours: the sum of value * q, scaled to a largest of one."""
+        top = logs[other].max(axis=0)
+        if not np.isfinite(top).any():
+            return None
+        with np.errstate(invalid="ignore"):
+            total = (value[other] * q * np.exp(np.where(np.isfinite(top), logs[other] - top, -np.inf))).sum(axis=0)
+        return total, top
+
+    def settle(value, logs, at, found):
+        if found is not None:
+            total, top = found
+            good = total > 0
+            value[at] = good
+            logs[at] = np.where(good, top + np.log(np.where(good, total, 1.0)), -np.inf)
+
+    for at in range(1, n + 1):
+        a, b = cuts[at], cuts[at + 1]
+        if b > a:
+            settle(alpha, shift, at, gather(alpha, shift, start[a:b], p[a:b]))
+    if not both:
+        return shift[n]
+    order = np.argsort(start, kind="stable")
+    firsts = np.searchsorted(start[order], np.arange(n + 2))
+    beta, back = np.zeros((n + 1, k)), np.full((n + 1, k), -np.inf)
+    beta[n], back[n] = 1.0, 0.0
+    for at in range(n - 1, -1, -1):
+        rows = order[firsts[at] : firsts[at + 1]]
+        if len(rows):
+            settle(beta, back, at, gather(beta, back, end[rows], p[rows]))
+    with np.errstate(divide="ignore"):
+        uses = np.exp(shift[start] + np.log(p) + back[end] - shift[n])
+    return shift[n], piece, uses
+
+
+def _blocks(words: list[bytes]):
+    """Words of equal length, each after a space, as arrays of bytes, and where they come from; the long ones are left out."""
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] <= WORD_BYTES]
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
     for rows in np.split(order, cuts):
         width = int(lengths[rows[0]]) if len(rows) else 0
         step = max(1, (1 << 21) // (width * width + 1))
         for k in range(0, len(rows), step):
             part = rows[k : k + step]
-            yield part, width, np.frombuffer(b"".join([segments[i] for i in part]), dtype=np.uint8).reshape(len(part), width)
+            yield part, width, np.frombuffer(b"".join([b" " + words[i] for i in part]), dtype=np.uint8).reshape(len(part), width)
+
+
+def _long(words: list[bytes]) -> list[int]:
+    return [k for k, w in enumerate(words) if len(w) >= WORD_BYTES]
 
 
 def word_scores(words: list[bytes], table: np.ndarray, path: str) -> np.ndarray:
     """Natural log probability of each word in each language."""
     index = vocabulary(path)
-    segments, owner = _segments(words)
     out = np.zeros((len(words), table.shape[1]))
-    for rows, width, block in _blocks(segments):
-        alpha = forward(lattice(block, index), width, len(rows), table)
-        np.add.at(out, owner[rows], np.log(np.maximum(alpha[:, width], 1e-300)))
+    for rows, width, block in _blocks(words):
+        out[rows] = np.log(forward(lattice(block, index), width, len(rows), table)[:, width]) - width * np.log(SCALE)
+    for k in _long(words):
+        out[k] = long_sums(b" " + words[k], table, index)
     return out
 
 
@@ -248,7 +312,8 @@ def fit(labelled: DataFrame, vocab: str, train_rows: int = TRAIN_ROWS, rounds: i
     if not languages:
         return Model([], np.ones((n_pieces, 0)), vocab)
     part = F.create_map(*[x for g in languages for x in (F.lit(g), F.lit(min(1.0, train_rows / sizes[g])))])
-    chance = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
+    key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text"), F.lit("")), F.lit(7))
+    chance = F.pmod(key, F.lit(1 << 40)) / float(1 << 40)
     sample = known.filter(chance < part[F.col("lang")]).select("text", "lang")
 
     def count(batch: pa.RecordBatch) -> dict:
@@ -270,24 +335,26 @@ def fit(labelled: DataFrame, vocab: str, train_rows: int = TRAIN_ROWS, rounds: i
             for g in np.unique(langs):
                 mine = np.flatnonzero(langs == g)
                 column = np.ascontiguousarray(table.value[:, languages.index(g)])[:, None]
-                segments, owner = _segments(batch.column("word").take(pa.array(mine)).to_pylist())
-                times = batch.column("n").to_numpy()[mine][owner]
+                own = batch.column("word").take(pa.array(mine)).to_pylist()
+                times = batch.column("n").to_numpy()[mine]
                 total = np.zeros(len(column))
-                for rows, width, block in _blocks(segments):
+                for k in _long(own):
+                    _, piece, uses = long_sums(b" " + own[k], column, index, both=True)
+                    total += np.bincount(piece % len(column), weights=uses[:, 0] * times[k], minlength=len(column))
+                for rows, width, block in _blocks(own):
                     grid = lattice(block, index)
                     a, b = forward(grid, width, len(rows), column)[..., 0], backward(grid, width, len(rows), column)[..., 0]
-                    weight = times[rows] / np.maximum(a[:, width], 1e-300)
+                    weight = times[rows] / a[:, width]
                     for (start, end), piece in grid.items():
-                        total += np.bincount(piece % len(column), weights=a[:, start] * column[piece, 0] * b[:, end] * weight, minlength=len(column))
+                        total += np.bincount(piece % len(column), weights=a[:, start] * (column[piece, 0] * SCALE ** (end - start)) * b[:, end] * weight, minlength=len(column))
                 hit = np.flatnonzero(total[:-2])
                 out["lang"] += [str(g)] * len(hit)
                 out["piece"] += hit.tolist()
                 out["n"] += total[hit].tolist()
             return out
 
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # words, not texts
-        counted = arrow_map(words, expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()  # at most vocabulary x languages rows
-        prepare(spark)
+        with arrow_rows(spark, 20_000):  # words, not texts
+            counted = arrow_map(words, expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()  # at most vocabulary x languages rows
         counts = np.full_like(probs, SMOOTHING)
         column = {g: k for k, g in enumerate(languages)}
         np.add.at(counts, (counted.column("piece").to_numpy(), np.array([column[g] for g in counted.column("lang").to_pylist()], dtype=np.int64)), counted.column("n").to_numpy())
@@ -317,14 +384,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def held_out(id_col: str) -> Column:
+    return F.coalesce(bucket_of(id_col, MODULUS) == HELD_OUT, F.lit(False))
+
+
 def learning_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    return docs.filter(bucket_of(id_col, MODULUS) != HELD_OUT).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
 
 def identified(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     model = fit(learning_rows(docs, id_col, text_col, lang_col), vocab)
-    return predict(docs, model, id_col, text_col).select("doc_id", F.coalesce(bucket_of("doc_id", MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model, id_col, text_col).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, vocab: str, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -332,9 +403,11 @@ def keep_identified(docs: DataFrame, vocab: str, least_score: float = LEAST_SCOR
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(learning_rows(docs, id_col, text_col, lang_col), vocab))
 
+    place = docs.columns.index(text_col)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = model.value
-        raws = [letters(t) for t in batch.column(text_col).to_pylist()]
+        raws = [letters(t) for t in batch.column(place).to_pylist()]
         keep = np.zeros(len(raws), dtype=bool)
         for i, j in _runs(raws) if m.languages else ():
             p, per = m.posteriors(raws[i:j])
@@ -345,4 +418,5 @@ def keep_identified(docs: DataFrame, vocab: str, least_score: float = LEAST_SCOR
         for batch in batches:
             yield run(batch)
 
-    return docs.mapInArrow(each, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots in them cannot be passed
+    return plain.mapInArrow(each, plain.schema).toDF(*docs.columns)
