@@ -2,19 +2,23 @@
 
 A configuration is a multiset of lengths that fits one sequence. The covering
 program (fewest configurations that hold every length as often as it occurs) is
-solved by multiplicative weights: lengths that lag in coverage get dearer, those
-ahead cheaper, and a knapsack dynamic program prices the best configurations at
-these weights. The fractional solution is rounded down; what it leaves open is
-filled with further priced configurations taken whole, and the rest by best fit.
+solved by multiplicative weights: a length's weight falls as it is covered, and
+a knapsack dynamic program prices the best configurations at these weights. The
+solution covers every length in full, and scaled weights bound any cover from
+below. It is rounded down; for what is left the program is solved again a few
+times, and the last few pieces go by best fit.
 Only the histogram, at most one number per length, reaches the driver. Pieces
 find their place by their rank among pieces of their length, which is counted
 in two steps so that a length shared by most pieces is no single task's load.
 
 Defined results: with `added`, an added token written out in a text is that one
 token, as the tokenizers file has it by default (the queries ask for this); else
-it is spelled out. A null or empty text is one end token; rows that repeat an id
-are packed each for itself; an empty table gives an empty result; other columns
-of the input are ignored.
+it is spelled out. A null or empty text is one end token; a very long text is
+tokenised whole, by its own task, and cut; rows that repeat an id, or whose id is
+null, are packed each for itself and told apart by `row_key`, a number of the
+input row; pieces of equal length are interchangeable, so ties are broken by id,
+piece and content; an empty table gives an empty result; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +40,13 @@ CAPACITY = 2048
 END_ID = 0
 ROUNDS = 240
 PER_ROUND = 96
-#: How strongly a length's lag in coverage moves its weight, and how near to the best a configuration must be.
-ETA = 2.0
+#: How strongly the part of its demand that was covered lowers a length's weight, and how near to the best a configuration must be.
+ETA = 0.1
 SLACK = 0.002
-#: Extra weight of long lengths, and the part of the room that a configuration takes at once.
+#: Extra weight of long lengths at the start; they have fewer partners.
 CURVE = 0.05
-STEP = 0.5
+#: How often the program is solved again for what rounding leaves.
+AGAIN = 5
 #: Pieces that are ranked together.
 RANKED = 2_000
 
@@ -98,7 +103,7 @@ def encoder(path: str, added: bool = False):
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, added: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece, and its ids as bytes if asked for."""
+    """row_key, doc_id, piece, start, length, ids_crc32 of each piece, and its ids as bytes if asked for."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
@@ -118,9 +123,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 out["ids_crc32"].append(zlib.crc32(raw))
                 if keep_ids:
                     out["ids"].append(raw)
-        return {"doc_id": batch.column("doc_id").take(pa.array(rows, type=pa.int64()))} | out
+        return {c: batch.column(c).take(pa.array(rows, type=pa.int64())) for c in ("row_key", "doc_id")} | out
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
+    source = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return arrow_map(source, run, f"row_key long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
 # --- the plan ----------------------------------------------------------------
@@ -156,38 +162,51 @@ class _Pricing:
         return self.weights + self.best[self.capacity - self.lengths]
 
 
-def fractional_cover(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
-    """Amounts of configurations that cover the demand, and the last weights of all lengths.
+class Cover:
+    """A fractional solution: amounts of configurations that cover the demand, the last weights, and the best dual bound."""
 
-    Each round prices configurations of the lengths still open, at weights that
-    start as the lengths' shares of the capacity (a little more for long ones,
-    which have fewer partners) and are multiplied by exp(-ETA * lead in coverage).
+    def __init__(self, amounts: dict[tuple[int, ...], float], weights: np.ndarray, covered: np.ndarray, bound: float):
+        self.amounts, self.weights, self.covered, self.bound = amounts, weights, covered, bound
+
+    @property
+    def objective(self) -> float:
+        return sum(self.amounts.values())
+
+
+def fractional_cover(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Cover:
+    """The covering program, solved until every length is covered.
+
+    A round prices the configurations of the lengths still open at their weights.
+    Of the near-best, those whose lengths lag most are taken, each as often as
+    its scarcest length allows, and the weight of each length is multiplied by
+    exp(-ETA * the part of its demand that was covered). Weights over the value
+    of the best configuration are feasible for the dual program; their worth is a
+    lower bound on any cover. After ROUNDS all near-best configurations of a
+    round are taken, so that it ends: each round covers at least one length.
     """
     covered = np.zeros(len(lengths))
-    prior = lengths / capacity * (1 + CURVE * lengths / capacity)
+    weights = lengths / capacity * (1 + CURVE * lengths / capacity)
     amounts: dict[tuple[int, ...], float] = defaultdict(float)
-    weights = prior.copy()
-    for done in range(rounds):
-        some = np.flatnonzero(covered < 1 - 1e-9)
-        if not len(some):
-            break
-        share = 1.0 if done >= rounds - 1 else STEP
-        lead = covered[some] - covered[some].mean()
-        weights[some] = prior[some] * np.exp(-ETA * lead * lengths[some] / capacity / 100)
+    bound, done = float(demand @ lengths) / capacity, 0
+    while len(some := np.flatnonzero(covered < 1)):
         price = _Pricing(lengths[some], weights[some], capacity)
+        if len(some) == len(lengths):
+            bound = max(bound, float(demand @ weights) / price.best[capacity])
         value = price.values()
         good = np.flatnonzero(value >= (1 - SLACK) * value.max())
         picks = good[np.argsort(covered[some[good]] - lengths[some[good]] / capacity, kind="stable")]
-        picks = picks if share == 1.0 else picks[:per_round]
-        for i in picks:
+        moved = np.zeros(len(lengths))
+        for i in picks[: per_round if done < rounds else None]:
             kinds, times = np.unique(some[price.with_item(int(i))], return_counts=True)
-            step = share * float(((1 - covered[kinds]) * demand[kinds] / times).min())
-            if step > 1e-9:
+            step = float(((1 - covered[kinds] - moved[kinds]) * demand[kinds] / times).min())
+            if step > 1e-12:
                 amounts[tuple(np.repeat(kinds, times).tolist())] += step
-                covered[kinds] += step * times / demand[kinds]
-                near = kinds[(1 - covered[kinds]) * demand[kinds] < 0.05]
-                covered[near] = 1.0
-    return amounts, weights
+                moved[kinds] += step * times / demand[kinds]
+        covered += moved
+        covered[(1 - covered) * demand < 1e-6] = 1.0  # a millionth of a piece is an error of arithmetic
+        weights = weights * np.exp(-ETA * moved)
+        done += 1
+    return Cover(amounts, weights, covered, bound)
 
 
 def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -216,29 +235,22 @@ def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tupl
     return [(items, n) for group in bins for items, n in group.items()]
 
 
-def _rounded(part: float, amounts: dict, weights: np.ndarray, lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def _rounded(lengths: np.ndarray, demand: np.ndarray, capacity: int, again: int = AGAIN) -> list[tuple[tuple[int, ...], int]]:
+    """Whole configurations: those the program takes whole and full, then the same for what is left, at last best fit."""
     left, plan = demand.copy(), []
-
-    def take(items: tuple[int, ...], most: int) -> int:
-        kinds, times = np.unique(items, return_counts=True)
-        n = min(most, int((left[kinds] // times).min()))
-        if n > 0:
-            left[kinds] -= n * times
-            plan.append((items, n))
-        return n
-
-    for items, x in sorted(amounts.items(), key=lambda e: (-e[1], e[0])):
-        take(items, int(x * part + 1e-9))
-    for _ in range(60 if part else 0):  # whole configurations at the last weights, while they fill their sequence
+    for _ in range(again):
         some = np.flatnonzero(left)
         if not len(some):
             break
-        price = _Pricing(lengths[some], weights[some], capacity)
         took = 0
-        for i in range(len(some) - 1, -1, -1):
-            items = tuple(sorted(int(some[k]) for k in price.with_item(i)))
-            if lengths[list(items)].sum() == capacity:
-                took += take(items, 1 << 62)
+        for items, x in sorted(fractional_cover(lengths[some], left[some], capacity).amounts.items(), key=lambda e: (-e[1], e[0])):
+            items = some[list(items)]
+            kinds, times = np.unique(items, return_counts=True)
+            n = min(int(x + 1e-9), int((left[kinds] // times).min()))
+            if n > 0 and lengths[items].sum() == capacity:
+                left[kinds] -= n * times
+                plan.append((tuple(items.tolist()), n))
+                took += n
         if not took:
             break
     return plan + _best_fit(lengths, left, capacity)
@@ -251,11 +263,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     if not len(lengths):
         return plan
     demand = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
-    amounts, weights = fractional_cover(lengths, demand, capacity)
-    # Rounded down at several scales; the rest is best fit, all of it at scale 0. The fewest sequences win.
-    tried = [_rounded(part, amounts, weights, lengths, demand, capacity) for part in (1.0, 0.8, 0.5, 0.2, 0.0)]
-    found = min(tried, key=lambda f: sum(n for _, n in f))
-    return plan + [(tuple(int(lengths[i]) for i in items), n) for items, n in found]
+    return plan + [(tuple(int(lengths[i]) for i in items), n) for items, n in _rounded(lengths, demand, capacity)]
 
 
 class _Places:
@@ -290,15 +298,15 @@ class _Places:
 def ranked(pieces: DataFrame, total: int) -> DataFrame:
     """The pieces with `rank`, 0, 1, ... among those of their length."""
     parts = max(1, -(-total // RANKED))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row_key", "piece"), F.lit(parts)).cast("int"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset_rank"))
-    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row_key")) - 1
     return salted.withColumn("own", own).join(offsets, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("offset_rank")).drop("salt", "own", "offset_rank")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, added: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece."""
+    """doc_id, piece, start, length, ids_crc32, row_key, sequence_id, offset; one row per piece. Pieces of an input row share its row_key."""
     spark = docs.sparkSession
     pieces = materialise(token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids, added), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
@@ -309,7 +317,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         sequence, offset = places.value.find(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
         return {n: batch.column(n) for n in batch.schema.names if n != "rank"} | {"sequence_id": sequence, "offset": offset}
 
-    keep = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
+    keep = ["doc_id", "piece", "start", "length", "ids_crc32", "row_key", *["ids"] * keep_ids]
     kinds = dict(pieces.dtypes)
     return arrow_map(at.select(*keep, F.col("rank").cast("long")), run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", sequence_id long, offset long")
 
