@@ -34,7 +34,7 @@ def test_stages(spark, folder):
     assert ids(after["exact_dedup"]) == sorted(kept)
     near = [r["doc_id"] for r in simhash.near_duplicates(after["exact_dedup"]).filter("doc_id = component_id").collect()]
     assert ids(after["simhash_near_dedup"]) == sorted(near)
-    copies = {r["doc_id"]: r["__copies"] for r in mixing.with_copies(after["simhash_near_dedup"]).collect()}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.with_copies(after["simhash_near_dedup"]).collect()}
     assert collections.Counter(ids(after["mixing"])) == {i: n for i, n in copies.items() if n}
     packed = corpus_pipeline.run(spark, folder)
     assert collections.Counter(r["doc_id"] for r in packed.filter("piece = 0").collect()) == {i: n for i, n in copies.items() if n}
