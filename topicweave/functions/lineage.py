@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there; a temporary folder only where none is set (tests)."""
+    """Write df to the cluster's checkpoint folder and go on from there; below the warehouse, which is shared too, only where none is set."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="topicweave-"))
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return df.checkpoint()
