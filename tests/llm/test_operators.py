@@ -466,27 +466,146 @@ def test_pitman_yor(docs, rows, nothing, null_ids):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert pitman_yor.scored(nothing).count() == 0
     assert pitman_yor.scored(null_ids).count() == 2
+    with_strings = pitman_yor.scored(docs.withColumn("doc_id", pitman_yor.F.concat(pitman_yor.F.lit("d"), "doc_id"))).collect()
+    assert len(with_strings) == len(rows) and all(r["doc_id"].startswith("d") for r in with_strings)
+    nothing_learned = pitman_yor.score(pitman_yor.fit(docs.select("doc_id", "text", pitman_yor.F.lit(False).alias("learn")))).collect()
+    assert len(nothing_learned) == len(rows) and all(r["n_known"] == 0 and abs(r["score"]) < 1e-9 for r in nothing_learned)
+
+
+def chunk_rows(model):
+    """Chunks put together on the driver, as tasks do it."""
+    shared, last = pitman_yor.broadcasts(model)
+    kind = dict(model.table.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    rows = model.table.filter("kind = 1").unionAll(pitman_yor.answers(model, shared, kind)).orderBy("chunk", "bucket").collect()
+    by_chunk = collections.defaultdict(list)
+    for r in rows:
+        by_chunk[r["chunk"]].append(r.asDict())
+    return [pitman_yor.Told(v, shared.value, last.value) for v in by_chunk.values()]
+
+
+@pytest.mark.parametrize("head", [pitman_yor.HEAD, 3, 12])
+def test_pitman_yor_sums_to_one(spark, head):
+    """Over all types and one unknown, the averaged predictive of each context is a distribution, wherever its words lie."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[int(k)] for k in np.minimum(39, rng.geometric(0.12, 60))) for _ in range(30)]
+    seen = sorted({w for t in texts for w in t.split()})
+    # Texts that are not learned from hold each context with every type, one unknown word, and the end.
+    asked = [(1000 + i, " ".join(f"{u} {w}" for w in [*seen, "unseen"]) + f" {u}", False) for i, u in enumerate([*seen[:8], *seen[-4:], "unseen"])]
+    docs = spark.createDataFrame([*[(i, t, True) for i, t in enumerate(texts)], *asked], "doc_id long, text string, learn boolean").repartition(2)
+    model = pitman_yor.fit(docs, head=head)
+    found = {}
+    for told in chunk_rows(model):
+        lay = told.layout
+        for u in np.unique(lay.context):
+            pairs = lay.context == u
+            known = told.count[lay.word[pairs]] > 0
+            if known.sum() == len(seen) + 1 and (~known).sum() >= 1:  # all types and the end
+                p = told.prob[pairs]
+                found[len(found)] = p[known].sum() + p[~known][0]
+    assert len(found) >= 13 and all(math.isclose(v, 1, abs_tol=1e-9) for v in found.values()), found
+
+
+def test_pitman_yor_is_the_same_however_it_is_dealt(spark, docs):
+    """Partitions, chunks and buckets change nothing; with other heads only pairs beyond the head are seated otherwise."""
+    learn = docs.select("doc_id", "text", pitman_yor.F.lit(True).alias("learn"))
+    score = lambda d, **o: {r["doc_id"]: r for r in pitman_yor.score(pitman_yor.fit(d, **o)).collect()}
+    a, b, c = score(learn), score(learn.repartition(7)), score(learn, head=20)
+    for i, r in a.items():
+        assert math.isclose(r["score"], b[i]["score"], rel_tol=1e-9) and abs(r["score"] - c[i]["score"]) < 0.1 * r["n_tokens"]
+        assert r["n_known"] == b[i]["n_known"] == c[i]["n_known"] and math.isclose(r["base_score"], c[i]["base_score"], rel_tol=1e-9)
+
+
+def sequential_predictive(pairs, types, low, root, sweeps, burn_in, seed):
+    """A plain sampler: customers leave and sit down one by one, tables are kept with their sizes."""
+    import random
 
-
-def test_pitman_yor_head_and_tail_agree(docs):
-    """Whatever part of the words is sent to the texts, the scores are the same."""
-    model = pitman_yor.fit(docs.select("text"))
-    a = {r["doc_id"]: r for r in pitman_yor.score(docs, model, head=10_000).collect()}
-    b = {r["doc_id"]: r for r in pitman_yor.score(docs, model, head=3).collect()}
-    assert all(math.isclose(a[i]["score"], b[i]["score"], rel_tol=1e-9) and a[i]["n_known"] == b[i]["n_known"] for i in a)
-
-
-def test_pitman_yor_sums_to_one(docs):
-    """Over all types and one unknown, the averaged predictive of each context is a distribution."""
-    model = pitman_yor.fit(docs.select("text"))
-    words = model.words.collect()
-    new = np.mean([(pitman_yor.STRENGTH + model.setup.root * t.tables[pitman_yor.SLOTS]) / (pitman_yor.STRENGTH + t.customers[pitman_yor.SLOTS]) * model.setup.base for t in model.setup.history[-3:]])
-    assert math.isclose(sum(np.mean(w["roots"]) for w in words) + new, 1, abs_tol=1e-6)
-    for slot in range(3):
-        g = model.gammas[slot]
-        total = sum(w["probs"][w["slots"].index(slot)] if slot in w["slots"] else float(np.mean(g * w["roots"])) for w in words)
-        unknown = np.mean([g[k] * (pitman_yor.STRENGTH + model.setup.root * t.tables[pitman_yor.SLOTS]) / (pitman_yor.STRENGTH + t.customers[pitman_yor.SLOTS]) * model.setup.base for k, t in enumerate(model.setup.history[-3:])])
-        assert math.isclose(total + unknown, 1, abs_tol=1e-6)
+    rng, base = random.Random(seed), 1 / (types + 1)
+    seats = collections.defaultdict(list)  # (restaurant, dish) -> sizes; restaurant None is the root
+    customers, tables = collections.Counter(), collections.Counter()
+
+    def prob(u, w):
+        own, parent = seats[u, w], base if u is None else prob(None, w)
+        return (sum(own) - (root if u is None else low) * len(own) + (1 + (root if u is None else low) * tables[u]) * parent) / (1 + customers[u])
+
+    def sit(u, w):
+        own, d, parent = seats[u, w], root if u is None else low, base if u is None else prob(None, w)
+        new = (1 + d * tables[u]) * parent
+        x = rng.random() * (sum(own) - d * len(own) + new)
+        customers[u] += 1
+        for k, n in enumerate(own):
+            x -= n - d
+            if x < 0:
+                own[k] += 1
+                return
+        own.append(1)
+        tables[u] += 1
+        if u is not None:
+            sit(None, w)
+
+    def leave(u, w):
+        own = seats[u, w]
+        k = rng.choices(range(len(own)), weights=own)[0]
+        own[k] -= 1
+        customers[u] -= 1
+        if not own[k]:
+            del own[k]
+            tables[u] -= 1
+            if u is not None:
+                leave(None, w)
+
+    for u, w in pairs:
+        sit(u, w)
+    total = collections.Counter()
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            leave(u, w)
+            sit(u, w)
+        if sweep >= burn_in:
+            for u, w in set(pairs):
+                total[u, w] += prob(u, w) / (sweeps - burn_in)
+    return total
+
+
+def test_pitman_yor_predictives_equal_a_sequential_sampler():
+    rng = np.random.default_rng(7)
+    text = np.minimum(5, rng.geometric(0.4, 120) - 1)
+    pairs = list(zip(text[:-1].tolist(), text[1:].tolist()))
+    counts = collections.Counter(pairs)
+    low, root, types = 0.6, 0.4, 6
+    want = sequential_predictive(pairs, types, low, root, 1500, 100, 1)
+    words = pitman_yor.mix(np.arange(1, types + 1, dtype=np.uint64))
+    order = np.argsort(words)
+    place = {int(w): k for k, w in enumerate(order)}
+    head = pitman_yor.Head(words, np.array([sum(n for (u, _), n in counts.items() if u == w) for w in range(types)]))
+    keys = sorted((place[u], place[w], n) for (u, w), n in counts.items())
+    left, right, n = (np.array(x) for x in zip(*keys))
+    none = [np.zeros(0, np.int64)] * 3
+    state = pitman_yor.State.of(np.zeros(0, np.uint64), (left, right, n), none, none, none[0], none[0])
+    setup, got = pitman_yor.Setup(head, low, root, types, []), collections.Counter()
+    sweeps, burn_in = 220, 20
+    for sweep in range(sweeps + 1):  # each sweep follows from the totals before it, as on a cluster
+        last = dict(zip(range(sweep + 1), state.sweeps(setup)))[sweep]
+        tables, customers = state.head_sums(last, types)
+        before = setup.history[-1] if sweep else None
+        seats = setup.seat_root(head.words, before, customers, before.root, sweep) if sweep else np.minimum(customers, 1)
+        t = pitman_yor.Totals(tables, customers, seats, int(customers.sum()), int(seats.sum()))
+        setup.history.append(t)
+        if sweep > burn_in:
+            p0 = setup.root_prob(t, t.customers, t.root)
+            all_ = dict(zip(zip(left.tolist(), right.tolist()), np.where(n > 1, 0, 1)))
+            for (u, w), s in zip(zip(state.hh[0].tolist(), state.hh[1].tolist()), last["hh"].tolist()):
+                all_[u, w] = s
+            for (u, w), s in all_.items():
+                c = counts[int(order[u]), int(order[w])]
+                got[int(order[u]), int(order[w])] += (c - low * s + (1 + low * t.tables[u]) * p0[w]) / (1 + head.counts[u]) / (sweeps - burn_in)
+    assert max(abs(got[k] - want[k]) / want[k] for k in want) < 0.06, [(k, got[k], want[k]) for k in want]
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    arrays = [np.zeros(0, np.int64), np.zeros(5, np.int64), rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2) + np.uint64(1), np.array([0, 255, 256])]
+    assert all(np.array_equal(a.astype(np.uint64), b) for a, b in zip(arrays, pitman_yor.unpacked(pitman_yor.packed(*arrays))))
 
 
 def test_seating_matches_the_exact_conditional():
@@ -508,8 +627,27 @@ def test_seating_matches_the_exact_conditional():
     keys = np.arange(n, dtype=np.uint64)
     t = pitman_yor.sample_tables(keys, np.full(n, c), np.full(n, p), np.full(n, others), d, theta, 3)
     assert np.abs(np.bincount(t, minlength=c + 1) / n - want).max() < 0.01
-    many = pitman_yor.sample_tables(keys[:50], np.full(50, 100_000), np.full(50, p), np.full(50, others), d, theta, 3)
-    assert (many >= 1).all() and (many <= 100_000).all()
+
+
+@pytest.mark.parametrize("d", [0.3, 0.73, 0.9])
+def test_seating_of_crowds(d):
+    """Beyond EXACT customers: Stirling numbers against their recursion, and draws against the conditional written out."""
+    exact = pitman_yor.log_stirling(d, 1500)
+    for c in (200, 700, 1500):
+        t = np.arange(1, c - 1)
+        assert np.abs(pitman_yor.crowds(d).logs(np.full(len(t), float(c)), t.astype(float)) - exact[c, 1 : c - 1]).max() < 0.08
+    n = 20_000
+    keys = np.arange(n, dtype=np.uint64)
+    for c, p, others in ((300, 0.2, 7.0), (700, 1e-3, 3.0), (1500, 0.05, 5000.0)):
+        t = np.arange(1, c + 1)
+        logs = exact[c, 1 : c + 1] + t * math.log(p) + np.cumsum(np.log(1 + d * (others + t - 1)))
+        want = np.exp(logs - logs.max())
+        want /= want.sum()
+        got = pitman_yor.sample_tables(keys, np.full(n, c), np.full(n, p), np.full(n, others), d, 1.0, 5)
+        mean, spread = (want * t).sum(), math.sqrt((want * t * t).sum() - (want * t).sum() ** 2)
+        assert abs(got.mean() - mean) < 0.02 * mean + 0.02 * spread and abs(got.std() - spread) < 0.05 * spread + 0.01, (c, p, got.mean(), mean, got.std(), spread)
+    huge = pitman_yor.sample_tables(keys[:50], np.full(50, 10**8), np.full(50, 0.1), np.full(50, 1e6), d, 1.0, 3)
+    assert (huge >= 1).all() and huge.std() < 0.1 * huge.mean()
 
 
 def test_secret_forest(spark, docs, rows, nothing, null_ids):
