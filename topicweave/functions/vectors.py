@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -27,7 +29,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector over its length, at least 1e-9."""
-    return F.transform(doubles(v), lambda x: x / F.greatest(norm(v), F.lit(1e-9)))
+    return bound(F.greatest(norm(v), F.lit(1e-9)), lambda size: F.transform(doubles(v), lambda x: x / size))
 
 
 def blend(a: Column, b: Column, alpha: float) -> Column:
@@ -46,9 +48,11 @@ def nearest(rows: DataFrame, centres: DataFrame, row_key: str, vector: str = "em
 
     Centres are one row a topic, so the optimizer sends them to the rows; the row's best is taken in place.
     """
-    table = centres.select(F.collect_list(F.struct(F.col(centre_key).alias("k"), "centroid")).alias("centres"))
-    paired = rows.select(row_key, vector).join(table, how="cross")
-    best = F.array_max(F.transform("centres", lambda c: F.struct(F.round(cosine(F.col(vector), c["centroid"]), 9).alias("sim"), (-c["k"]).alias("minus"))))
+    table = centres.select(F.collect_list(F.struct(F.col(centre_key).alias("k"), "centroid", norm(F.col("centroid")).alias("size"))).alias("centres"))
+    paired = rows.select(row_key, vector, norm(F.col(vector)).alias("size")).join(table, how="cross")
+    # Lengths are taken once a row and once a centre.
+    sim = lambda c: F.when(F.col("size") * c["size"] == 0, F.lit(0.0)).otherwise(dot(F.col(vector), c["centroid"]) / (F.col("size") * c["size"]))
+    best = F.array_max(F.transform("centres", lambda c: F.struct(F.round(sim(c), 9).alias("sim"), (-c["k"]).alias("minus"))))
     return paired.select(row_key, best.alias("b")).select(row_key, (-F.col("b.minus")).alias(centre_key), F.col("b.sim").alias("sim"))
 
 

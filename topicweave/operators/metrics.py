@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicweave.functions.lineage import checkpointed
 from topicweave.functions.vectors import centroids, cosine
 
 BLOCK = 2048
@@ -52,7 +53,7 @@ def silhouette_samples(rows: DataFrame, label: str, vector: str = "embedding", k
 
     def sums(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
-        v = np.array(t.column("v").to_pylist(), dtype=np.float64).reshape(t.num_rows, -1)
+        v = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
         k, lab = t.column("k").to_numpy(), t.column("label").to_numpy()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(a) or not len(b):
@@ -62,9 +63,12 @@ def silhouette_samples(rows: DataFrame, label: str, vector: str = "embedding", k
         hot = np.zeros((len(b), len(names)))
         hot[np.arange(len(b)), where] = 1
         total = np.empty((len(a), len(names)))
+        yy = (y * y).sum(axis=1)
         for i in range(0, len(a), 256):
-            d = np.sqrt(np.maximum(((x[i : i + 256, None, :] - y[None]) ** 2).sum(axis=2), 0))
-            total[i : i + 256] = d @ hot
+            part = x[i : i + 256]
+            d = np.maximum((part * part).sum(axis=1)[:, None] + yy[None] - 2 * part @ y.T, 0)
+            d[k[a][i : i + 256, None] == k[b][None]] = 0.0
+            total[i : i + 256] = np.sqrt(d) @ hot
         m = len(names)
         return pa.table({"k": np.repeat(k[a], m), "label": np.repeat(lab[a], m), "to": np.tile(names, len(a)), "total": total.reshape(-1), "n": np.tile(hot.sum(axis=0).astype(np.int64), len(a))})
 
@@ -101,7 +105,9 @@ def npmi_pairs(topics: DataFrame, docs: DataFrame, most: int = 10) -> DataFrame:
     """
     words = topics.select("topic_id", F.posexplode(F.slice(F.array_distinct("keywords"), 1, most)).alias("place", "w"))
     vocabulary = words.select("w").distinct()
+    # Written once: texts are read and cut into tokens for all three uses below.
     seen = docs.select("doc_idx", F.explode(F.array_distinct("tokens")).alias("w")).join(vocabulary, "w")
+    seen = checkpointed(seen)
     single = seen.groupBy("w").agg(F.count("*").alias("c"))
     a, b = words.select("topic_id", F.col("w").alias("x"), F.col("place").alias("px")), words.select("topic_id", F.col("w").alias("y"), F.col("place").alias("py"))
     pairs = a.join(b, "topic_id").filter("px < py").select("topic_id", F.least("x", "y").alias("w1"), F.greatest("x", "y").alias("w2"))
