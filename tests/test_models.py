@@ -43,6 +43,37 @@ def test_hdbscan_finds_blobs_in_blocks(spark):
     assert set(labels(C.hdbscan(rows, 60)).values()) == {-1}
 
 
+def test_kmeans_numbers_and_ties(spark):
+    """Clusters are numbered by their smallest key; equally cheap fits give one labelling for any partitions."""
+    rows = vectors(spark, [(0, p) for p in [(0, 0), (0, 1), (1, 0), (1, 1)] for _ in range(5)])  # two equally good cuts
+    found = [labels(C.kmeans(rows.repartition(n), 2, 3)) for n in (1, 5, 13)]
+    assert found[0] == found[1] == found[2] and found[0][0] == 0
+    truth = labels(blobs(spark, n_per=15, k=4))
+    assert labels(C.kmeans(blobs(spark, n_per=15, k=4).repartition(7), 4, 1)) == truth
+    assert labels(C.kmeans(rows, 1, 0)) == dict.fromkeys(range(20), 0) and len(set(labels(C.kmeans(rows.limit(3), 9, 0)).values())) <= 3
+
+
+def test_density_blocks_equal_the_whole(spark):
+    """Core distances and the tree's weight against all pairs at once; fewer edges than rows reach the driver."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 5))
+    x[10] = x[20]
+    rows = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "k long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 6]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    np.fill_diagonal(reach, 0)
+    want = C._prim(reach)[2].sum()
+    for parts in (1, 7):
+        cores = C.core_distances(rows.repartition(4), 7, parts)
+        assert np.allclose([r["core"] for r in cores.orderBy("k").collect()], core)
+        edges = C.reachability_tree(rows, cores, parts).toPandas()
+        assert len(edges) == 89 and np.isclose(edges["w"].sum(), want)
+    a, b = np.triu_indices(90, 1)
+    f = C.spanning_forest(a, b, reach[a, b])
+    assert len(f) == 89 and np.isclose(reach[a, b][f].sum(), want)
+
+
 def test_fill_outliers(spark):
     rows = blobs(spark).withColumn("topic_id", F.when(F.col("doc_idx") % 7 == 0, -1).otherwise(F.col("topic_id")))
     before, after = labels(rows), {r["doc_idx"]: r for r in C.fill_outliers(rows).collect()}
@@ -88,7 +119,7 @@ def test_models_keep_the_contract(corpus, config):
     topics = {r["topic_id"]: r for r in a.topics.collect()}
     assert topics and {t for t in found.values() if t >= 0} <= set(topics)
     assert all(t["label"] and t["keywords"] for t in topics.values())
-    assert labels(P.fit(config, corpus.repartition(5), 3).assignments) == found
+    assert all(labels(P.fit(config, corpus.repartition(n), 3).assignments) == found for n in (1, 5))
 
 
 def test_documents_without_tokens_stay_out(spark):
@@ -164,6 +195,41 @@ def test_stability(spark):
     assert (r["n_seeds"], r["n_pairs"], r["stability_ari_mean"]) == (3, 3, 1.0)
 
 
+def test_recommendation_rules():
+    assert X.pick_topics({2: 0.5, 5: 0.46, 8: 0.44}) == 5 and X.pick_topics({}) == 10
+    assert X.pick_topics({2: -0.2, 5: -0.1, 8: -0.3}) == 5 and X.pick_topics({3: 0.1, 9: -0.5}) == 3
+    assert X.tried_topics(100, 3) == [2, 3, 4, 5, 6] and X.tried_topics(5, 1) == [4] and X.tried_topics(100) == list(X.TRIED)
+
+
+def test_phrase_keywords_and_themes(spark, corpus):
+    items = spark.createDataFrame([(0, 0, "river bank", 0), (0, 1, "flood", 0), (1, 0, "flood", 0), (2, 0, "market", 1), (3, 0, None, 1), (4, 0, "noise", -1)], "doc_idx long, pos int, kp string, topic_id int")
+    assert [(r["topic_id"], r["token"], r["rank"]) for r in K_words(items).collect()] == [(0, "flood", 1), (0, "river bank", 2), (1, "market", 1)]
+    fitted = P.fit(cfg.KeyphraseConfig(n_topics=2), corpus, 3)
+    assert any(" " in k for r in fitted.topics.collect() for k in r["keywords"])  # whole phrases
+
+    class Themes(V.EchoClient):
+        def chat(self, model, prompt, **options):
+            return 'Theme: "Water"' if prompt.startswith("Name the theme") else super().chat(model, prompt, **options)
+
+    assert {r["label"] for r in P.fit(cfg.AnchorConfig(n_topics=2), corpus, 3, P.Services(client=Themes)).topics.collect()} == {"Water"}
+
+
+def K_words(items):
+    return P.Q.frequent_phrases(items).orderBy("topic_id", "rank")
+
+
+def test_members_and_detail(spark):
+    rows = spark.createDataFrame([(i, f"d{i}", "x" * (300 - i), i % 2) for i in range(6)], "doc_idx long, doc_id string, text string, topic_id int")
+    assert [(r["doc_id"], len(r["text"])) for r in P.Q.members(rows, 1).collect()] == [("d1", 200), ("d3", 200), ("d5", 200)]
+    assert sorted(tuple(r) for r in P.Q.detail(rows).collect()) == [(0, 3, 0), (1, 3, 1)]
+
+
+def test_presets_are_checked_at_once():
+    assert cfg.unknown_presets(["lda", "x", "nmf", "y"]) == ["x", "y"] and [c.name for c in cfg.presets(["lda", "anchor"])] == ["lda", "anchor"]
+    with pytest.raises(KeyError, match="'x', 'y'"):
+        cfg.presets(["x", "lda", "y"])
+
+
 def test_recommend(spark):
     assert 4 <= X.recommend_topics(blobs(spark, n_per=40, k=5, dim=16, seed=0))[0] <= 6
     papers = blobs(spark, n_per=40, k=5, dim=16, seed=0).withColumn("source_id", F.concat(F.lit("s"), F.col("doc_idx") % 2))

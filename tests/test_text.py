@@ -76,3 +76,36 @@ def test_small_parsers(spark):
     assert one(spark, T.tokens, "Ab c DEF ghi", "", None) == [["ab", "def", "ghi"], [], []]
     assert one(spark, T.strip, "　a b ") == ["a b"]
     assert one(spark, lambda c: T.theme_label(c, F.array(F.lit("p"), F.lit("q"))), 'Theme: "Water"', " ") == ["Water", "p · q"]
+
+
+def test_themes_are_cleaned_alike(spark):
+    answers = ["Theme: Water", " 주제: 돌봄 정책 ", "답변: '물'", "주제: Theme: x", "Theme:", "plain \"quoted\"", ""]
+    got = one(spark, lambda c: T.theme_label(c, F.array(F.lit("p"), F.lit("q"))), *answers)
+    assert got == [T.clean_theme(a) or "p · q" for a in answers] and got[:3] == ["Water", "돌봄 정책", "물"]
+
+
+def test_json_in_answers():
+    assert T.parse_json('so: {"a": [1]} end') == [1] and T.parse_json('x {"a": 1} y') == {"a": 1} and T.parse_json("none [") is None and T.parse_json("[1, 2} {") is None
+
+
+def test_stopwords_and_taggers(spark, tmp_path):
+    from topicweave.functions import tokens as K
+
+    (tmp_path / "stop.txt").write_text("# words\n\n 것 \nand\n", encoding="utf-8")
+    stop = K.read_stopwords(spark, f"file://{tmp_path}/stop.txt")
+    assert set(stop) == {"것", "and"}
+
+    class Tags:
+        def tag(self, texts):
+            return [[tuple(w.rsplit("/", 1)) for w in t.split()] for t in texts]
+
+    docs = spark.createDataFrame([(0, "정책/NNG 것/NNG AI/SL 하다/VV 서울/NNP 12/SL 가/NNG --/NNG"), (1, " "), (2, None)], "doc_idx long, text string")
+    assert [r["tokens"] for r in K.tagged_tokens(docs, Tags, stop).orderBy("doc_idx").collect()] == [["정책", "ai", "서울"], [], []]
+
+
+def test_words_of_any_script(spark):
+    from topicweave.plans import experiments as X
+    from topicweave.sources.services import HashEmbedder
+
+    docs = X.prepare(spark.createDataFrame([(0, "서울 Policy 가 12 x")], "doc_idx long, text string"), HashEmbedder)
+    assert docs.first()["tokens"] == ["서울", "policy"]

@@ -599,7 +599,7 @@ def recommend_min_size(spark, sf_dir):
 
 @query(f"WITH {VEC} SELECT topic_id, count(*) AS size, min(doc_idx) AS first_member FROM v GROUP BY topic_id")
 def topic_detail(spark, sf_dir):
-    return vectors(spark, sf_dir).groupBy("topic_id").agg(F.count("*").alias("size"), F.min("doc_idx").alias("first_member"))
+    return Q.detail(vectors(spark, sf_dir))
 
 
 # --- models: checked by properties in the tests -----------------------------------------------------
@@ -607,7 +607,7 @@ def topic_detail(spark, sf_dir):
 
 @query()
 def kmeans_k5(spark, sf_dir):
-    return C.kmeans(vectors(spark, sf_dir), 5, 42, restarts=3)
+    return C.kmeans(vectors(spark, sf_dir), 5, 42)
 
 
 @query()
@@ -637,12 +637,12 @@ def _fit(config, spark, sf_dir) -> DataFrame:
 
 @query()
 def lda_topics(spark, sf_dir):
-    return _fit(cfg.LdaConfig(n_topics=4, passes=2), spark, sf_dir)
+    return _fit(cfg.LdaConfig(n_topics=4), spark, sf_dir)
 
 
 @query()
 def nmf_topics(spark, sf_dir):
-    return _fit(cfg.NmfConfig(n_topics=4, rounds=10, most_words=1000), spark, sf_dir)
+    return _fit(cfg.NmfConfig(n_topics=4), spark, sf_dir)
 
 
 @query()
@@ -652,12 +652,12 @@ def density_fit(spark, sf_dir):
 
 @query()
 def anchor_fit(spark, sf_dir):
-    return _fit(cfg.AnchorConfig(n_topics=4, pool=200), spark, sf_dir)
+    return _fit(cfg.AnchorConfig(n_topics=4), spark, sf_dir)
 
 
 @query()
 def keyphrase_fit(spark, sf_dir):
-    return _fit(cfg.KeyphraseConfig(n_topics=4, most_asked=200), spark, sf_dir)
+    return _fit(cfg.KeyphraseConfig(n_topics=4), spark, sf_dir)
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -140,8 +141,34 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(name, r"[^0-9A-Za-z_가-힣-]+", "_")
 
 
+#: What a theme answer may begin with.
+THEME_PREFIXES = ("주제:", "주제 :", "Theme:", "답변:", "답변 :")
+
+
+def clean_theme(answer: str, most: int = 100) -> str:
+    """A theme answer without prefixes, each at most once in their order, and without quotes, cut."""
+    answer = answer.strip()
+    for prefix in THEME_PREFIXES:
+        answer = answer.removeprefix(prefix).strip()
+    return answer.strip("\"'")[:most]
+
+
 def theme_label(answer: Column, keyphrases: Column, most: int = 100) -> Column:
-    """A theme answer without prefix and quotes, cut; without one, the first three keyphrases."""
-    bare = F.regexp_replace(F.trim(answer), r"(?i)^(theme|topic|label|주제|테마)\s*[:：]\s*", "")
-    bare = F.left(F.trim(F.regexp_replace(bare, "^[\"'`]+|[\"'`]+$", "")), F.lit(most))
+    """`clean_theme` of an answer; where nothing is left, the first three keyphrases."""
+    bare = strip(answer)
+    for prefix in THEME_PREFIXES:
+        bare = strip(F.when(bare.startswith(prefix), F.substring(bare, len(prefix) + 1, 1 << 30)).otherwise(bare))
+    bare = F.left(F.regexp_replace(bare, "^[\"']+|[\"']+$", ""), F.lit(most))
     return F.coalesce(F.when(bare != "", bare), F.array_join(F.slice(keyphrases, 1, 3), " · "))
+
+
+def parse_json(answer: str):
+    """The widest list or object in an answer, as Python values; None if there is none that can be read."""
+    for left, right in ("[]", "{}"):
+        a, b = answer.find(left), answer.rfind(right)
+        if 0 <= a < b:
+            try:
+                return json.loads(answer[a : b + 1])
+            except ValueError:
+                continue
+    return None

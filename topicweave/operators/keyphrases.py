@@ -57,7 +57,7 @@ def exploded(found: DataFrame) -> DataFrame:
 
 
 def distinct_phrases(rows: DataFrame) -> DataFrame:
-    return rows.select("kp").distinct().orderBy("kp")
+    return rows.select("kp").distinct()
 
 
 def with_cosine(rows: DataFrame, phrase_vectors: DataFrame, docs: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def keep_by_model(found: DataFrame, make_client: Callable, model: str) -> DataFr
             for text, phrases in zip(batch.column("text").to_pylist(), batch.column("keyphrases").to_pylist()):
                 try:
                     answer = client.chat(model, f"Which phrases (numbered from 0) does the text support? Answer with a JSON list of numbers.\nPhrases: {json.dumps(list(enumerate(phrases)), ensure_ascii=False)}\nText:\n{text}")
-                    chosen = set(json.loads(answer[answer.index("[") : answer.rindex("]") + 1]))
+                    chosen = set(T.parse_json(answer))
                     kept.append([p for i, p in enumerate(phrases) if i in chosen])
                 except Exception:  # an answer that cannot be read keeps all
                     kept.append(phrases)
@@ -104,13 +104,13 @@ def filter_stats(raw: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def represent(rows: DataFrame, kind: str, alpha: float = 0.5) -> DataFrame:
-    """item_id, doc_idx, kp, vec from rows with kp_vec and doc_vec: keyphrase, doc or joint."""
+    """item_id, doc_idx, pos, kp, vec from rows with kp_vec and doc_vec: keyphrase, doc or joint."""
     if kind == "doc":
         once = rows.select("doc_idx", "doc_vec").dropDuplicates(["doc_idx"])
-        return once.select(F.col("doc_idx").alias("item_id"), "doc_idx", F.lit(None).cast("string").alias("kp"), F.col("doc_vec").cast("array<double>").alias("vec"))
+        return once.select(F.col("doc_idx").alias("item_id"), "doc_idx", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("kp"), F.col("doc_vec").cast("array<double>").alias("vec"))
     known = rows.filter(F.col("kp_vec").isNotNull())
     vec = blend(F.col("doc_vec"), F.col("kp_vec"), alpha) if kind == "joint" else F.col("kp_vec").cast("array<double>")
-    return known.select((F.xxhash64("doc_idx", "pos")).alias("item_id"), "doc_idx", "kp", vec.alias("vec"))
+    return known.select((F.xxhash64("doc_idx", "pos")).alias("item_id"), "doc_idx", "pos", "kp", vec.alias("vec"))
 
 
 def majority(items: DataFrame) -> DataFrame:
