@@ -491,7 +491,7 @@ def remove_spans(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (long, a document's place in the order), doc_id and text of every row.
+    """id (long, a document's place in the order) and text of every row, and its doc_id where that is not the place itself.
 
     Where ids are whole numbers, none null and none twice, they are the places. Else documents are pairs of id
     and text, sorted by id (null first) and SHA-256 of the text, and numbered in that order.
@@ -500,7 +500,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if isinstance(named.schema["doc_id"].dataType, IntegralType):
         times = named.groupBy("doc_id").agg(F.count("*").alias("n"))
         if times.filter("n > 1 or doc_id is null").isEmpty():
-            return named.select(F.col("doc_id").cast("long").alias("id"), "doc_id", "text")
+            return named.select(F.col("doc_id").cast("long").alias("id"), "text")
     marked = named.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     ordered = marked.select(F.col("doc_id").alias("own"), F.col("digest").alias("own_digest")).distinct().orderBy(F.col("own").asc_nulls_first(), "own_digest")
     places = materialise(ordered.withColumn("id", F.monotonically_increasing_id()), "places")
@@ -512,16 +512,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     spans = repeated_spans(texts.select("id", "text"), length, gram, largest).withColumnRenamed("id", "span_id")
-    kind = dict(texts.dtypes)["doc_id"]
+    kind = dict(docs.dtypes)[id_col]
+    named = "doc_id" if "doc_id" in texts.columns else "id"
 
     def run(batch: pa.RecordBatch) -> dict:
         raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
         done = [remove_spans(r, s or []) for r, s in zip(raws, batch.column("spans").to_pylist())]
         out = {
-            "doc_id": batch.column("doc_id"), "n_bytes": [len(r) for r in raws],
+            "doc_id": batch.column(named), "n_bytes": [len(r) for r in raws],
             "n_removed": [d[1] for d in done], "n_spans": [d[2] for d in done], "kept_sha256": [hashlib.sha256(d[0]).hexdigest() for d in done],
         }
         return out | ({"kept_bytes": [d[0] for d in done]} if keep_bytes else {})
 
-    joined = texts.join(spans, texts["id"] == spans["span_id"], "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, texts["id"] == spans["span_id"], "left").select(F.col(named).cast(kind).alias(named), "text", "spans")  # both joins exchange the same columns of the texts, so they share it
     return arrow_map(joined, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if keep_bytes else ""))
