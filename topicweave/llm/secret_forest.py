@@ -1,14 +1,16 @@
 """Secret scans: a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are long runs of key characters with a digit among them. Each is
-described by its length, the changes of character class in it, how much of it
+Candidates are long runs of key characters with a digit among them, blocks of
+private keys, JSON web tokens, passwords in addresses, and what is assigned to a
+telling name such as password, however short. Each is described by its length, the changes of character class in it, how much of it
 common words cover, whether it is a path, and the words beside it; a forest
 trained on labelled findings then tells secrets from identifiers, checksums,
 paths, numbers and placeholders. Candidate search, features and scoring run
 inside the JVM.
 
 Defined results: a null or empty text has no findings, and neither has one
-without a candidate; a run of any length is one candidate; rows repeated in full
+without a candidate; a run of any length is one candidate; a score equal to the
+threshold (a tie) is a secret; rows repeated in full
 give their findings once each; an empty table gives an empty result; other
 columns of the input are ignored. Labelled findings of one kind only give every
 candidate that kind's score.
@@ -23,10 +25,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-#: A run of at least 16 key characters that holds a digit. An equals sign belongs to it only as padding at its end.
-CANDIDATE = "(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?:[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?|[A-Za-z0-9_+/-]{15}={1,2}(?![A-Za-z0-9_+/=-])|[A-Za-z0-9_+/-]{14}==(?![A-Za-z0-9_+/=-]))"
+from .common import as_row, materialise
+
+#: What a candidate is; the first that fits is taken. A run's equals sign belongs to it only as padding at its end.
+BLOCK = r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z0-9 ]{0,24}PRIVATE KEY-----)?"
+JSON_TOKEN = r"(?<![A-Za-z0-9_+/-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+)?"
+#: The password of an address, user:password@host.
+IN_ADDRESS = r"(?<=:)(?=[^\s/:@]{4,200}@[A-Za-z0-9])(?<=://[^\s/:@]{1,64}:)[^\s/:@]{4,200}(?=@)"
+RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?:[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?|[A-Za-z0-9_+/-]{15}={1,2}(?![A-Za-z0-9_+/=-])|[A-Za-z0-9_+/-]{14}==(?![A-Za-z0-9_+/=-]))"
+#: A value of any six characters or more that is assigned to a telling name: passwords are short, and many have no digit.
+TELLING = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|auth|private|signing|encryption)[_ -]?key)"
+ASSIGNED = r"(?<=[:=]\s{0,3}[\"'`]?)(?<![A-Za-z0-9_+/-])(?<=" + TELLING + r"[\"'\])]{0,2}\s{0,3}(?::=|[:=]|=>)\s{0,3}[\"'`]?)[^\s\"'`,;<>(){}\[\]:=]{6,200}"
+CANDIDATE = "|".join((BLOCK, JSON_TOKEN, IN_ADDRESS, RUN, ASSIGNED))
 BEFORE, AFTER = 48, 24
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 30, 7, 7
@@ -47,7 +57,7 @@ WORDS = (
 #: Words beside a candidate that speak for a secret, and against one.
 FOR = "secret|token|passw|passphrase|pwd|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|auth|bearer|credential|signature"
 AGAINST = "commit|sha1|sha256|sha512|md5|checksum|digest|integrity|hash|uuid|guid|revision|etag|path|file|see|order|invoice|phone|isbn|card|serial"
-FEATURES = ["length", "transitions", "transition_rate", "digit_share", "upper_share", "other_share", "distinct_share", "longest_letters", "dictionary", "slashes", "is_path", "only_hex", "says_secret", "says_other", "near_other", "assigned", "quoted", "placeholder"]
+FEATURES = ["length", "transitions", "transition_rate", "digit_share", "upper_share", "other_share", "distinct_share", "longest_letters", "dictionary", "slashes", "is_path", "only_hex", "says_secret", "says_other", "near_other", "assigned", "quoted", "placeholder", "block", "in_address", "word_like", "short"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,13 +94,15 @@ def featured(found: DataFrame) -> DataFrame:
         "says_secret": flag(before.rlike(f"({FOR})[^a-z]{{0,8}}$")), "says_other": flag(before.rlike(f"({AGAINST})[^a-z]{{0,8}}$")),
         "near_other": flag(before.rlike(AGAINST) | after.rlike(AGAINST)), "assigned": flag(before.rlike(r"[:=]\s*[\"']?$")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
-        "placeholder": flag(c.rlike(r"(?i)(.)\1{5,}|example|sample|your|placeholder|changeme|dummy|1234567")),
+        "block": flag(c.startswith("-----BEGIN")), "in_address": flag(before.rlike("://[^\\s/:@]{1,64}:$")),
+        "word_like": flag(c.rlike("^[A-Za-z]?[a-z]+[.!?]?$|^[A-Z]+$|^[a-z]+([_.-][a-z]+)+$|^[a-z]+([A-Z][a-z]+)+$")), "short": flag(size < 16),
+        "placeholder": flag(c.rlike(r"(?i)(.)\1{5,}|^(my|insert)[_-]|example|sample|your|placeholder|change_?me|dummy|1234567|^[*x.#-]+$|\\$|%s|^(null|none|true|false|undefined|required|optional|string|secret|password|env)")),
     }
     return found.select("*", *[F.coalesce(values[k], F.lit(0.0)).alias(k) for k in FEATURES])
 
 
 def synthetic_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFrame:
-    """Labelled findings by rule: before, candidate, after, is_secret. Six kinds of secrets, nine of others.
+    """Labelled findings by rule: before, candidate, after, is_secret. Twelve kinds of secrets, eighteen of others.
 
     They are what `candidates` finds in n texts made by these rules, so that a form is learned as documents show it.
     """
@@ -99,8 +111,10 @@ def synthetic_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFram
     sixty = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i.cast("string")).cast("binary"), 256))), "[+/=]", "7")
     word = lambda k: F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
     prose = F.concat_ws(" ", word(11), word(12), word(13))
-    say = lambda *s: F.element_at(F.array(*map(F.lit, s)), (F.pmod(F.xxhash64(i, F.lit(21)), F.lit(len(s))) + 1).cast("int"))
+    say = lambda *s, salt=21: F.element_at(F.array(*map(F.lit, s)), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(s))) + 1).cast("int"))
     digits = F.translate(hexed("d", 24), "abcdef", "012345")
+    letters = F.translate(hexed("l", 40), "0123456789abcdef", "kTzqWvnRbxmPgsYd")
+    tell = say(" password=", " password: ", ' "password": "', " passwd=", ' db_password = "', " DB_PASS=", " secret: ", ' passphrase: "', " pwd=", " token=", " login password: ")
     kinds = [  # before, candidate, after, is_secret
         (F.concat(prose, say(' token = "', " token: '", ' access_token="', " auth_token = '")), hexed("a", 40), F.lit('" and'), 1),
         (F.concat(prose, say(' api_key = "', " api-key: ", " apikey=", ' x-api-key: "')), F.substring(sixty, 1, 32), F.lit('"'), 1),
@@ -118,12 +132,31 @@ def synthetic_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFram
         (F.concat(prose, say(" ", " phone ", " serial ", " at ")), F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 4), F.substring(digits, 9, 2), F.substring(digits, 11, 6)), F.lit(" "), 0),
         (F.concat(prose, say(" ", " export ", " set ", "; ")), F.concat_ws("_", F.upper(word(6)), F.substring(digits, 1, 1), say("PROD", "DB", "AWS", "MAIN"), say("SECRET", "TOKEN", "KEY", "PASSWORD")), F.lit('="'), 0),
     ]
-    pick = F.pmod(i, F.lit(len(kinds)))
-    row = None
-    for k, (before, candidate, after, label) in enumerate(kinds):
-        made = F.struct(before.alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(label).alias("is_secret"))
-        row = F.when(pick == k, made) if row is None else row.when(pick == k, made)
-    texts = spark.range(n).select(row.alias("r")).select("r.is_secret", F.concat("r.before", "r.candidate", "r.after").alias("text"))
+    kinds += [
+        (F.concat(prose, tell), F.concat(F.substring(letters, 1, 5), F.substring(digits, 1, 3)), F.lit(" "), 1),
+        (F.concat(prose, tell), F.substring(letters, 3, 9), F.lit(" "), 1),
+        (F.concat(prose, tell), F.concat(F.initcap(word(31)), say("!", "@", "#", "_", "$", ".", salt=23), F.substring(digits, 2, 4)), F.lit(" "), 1),
+        (F.concat(prose, say(" ", ": ", "\n")), F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), sixty, F.lit("\n"), F.substring(sixty, 5, 30), F.lit("\n-----END RSA PRIVATE KEY-----")), F.lit("\n"), 1),
+        (F.concat(prose, say(" bearer ", " token ", ' "jwt": "', " cookie=")), F.concat(F.lit("eyJ"), F.substring(sixty, 1, 20), F.lit(".eyJ"), F.substring(sixty, 8, 30), F.lit("."), hexed("w", 27)), F.lit(" "), 1),
+        (F.concat(prose, say(" postgres://", " mysql://", " amqp://", " https://", " redis://"), word(33), F.lit(":")), F.concat(F.substring(letters, 2, 6), F.substring(digits, 3, 3)), F.concat(F.lit("@"), word(34), F.lit(".local/x")), 1),
+        (F.concat(prose, tell), F.concat(word(35), say("_", ".", "", salt=22), word(36)), F.lit(" "), 0),
+        (F.concat(prose, tell), say("required", "optional", "string", "undefined", "********", "changeme", "your_password", "password", "xxxxxxxx", "disabled", "<redacted>", "unknown", "expired", "invalid", salt=24), F.lit(" "), 0),
+        (F.concat(prose, tell), F.concat(say("os.environ.", "config.", "process.env.", "settings.", "$", "self.", "request.", salt=25), F.upper(word(37)), say("_PASSWORD", "_TOKEN", "_KEY", "", salt=26)), F.lit(" "), 0),
+        (F.concat(prose, say(" secret: ", " the token: ", " password: ")), F.concat(word(38), say("ing", "ed", "s", "er", "ment", salt=27)), F.lit(" and"), 0),
+        (F.concat(prose, say(" https://", " http://"), word(39), F.lit(":")), F.lit("port"), F.concat(F.lit("@"), word(34)), 0),
+        (F.concat(prose, say(" class ", " new ", " ", " import ", " the ")), F.concat(F.initcap(word(41)), F.initcap(word(42)), F.initcap(word(43)), F.substring(digits, 1, 1), F.initcap(word(44))), say("(", " ", "."), 0),
+        (F.concat(prose, say(" ", " name=", " picture ", "/", '"')), F.concat(F.upper(F.left(word(45), F.lit(3))), F.lit("_"), F.substring(digits, 1, 8), F.lit("_"), F.substring(digits, 9, 6)), say(".jpg", " ", "_x"), 0),
+        (F.concat(prose, say(" ", " part ", " serial ", " batch ", " no. ")), F.concat_ws("-", F.upper(F.substring(letters, 1, 2)), F.substring(digits, 1, 8), F.upper(hexed("q", 4)), F.substring(digits, 5, 4)), F.lit(" "), 0),
+        (F.concat(prose, say(" api_key: ", " token=", " API_KEY=", " secret: ", ' password = "')), F.concat(say("YOUR_", "MY_", "INSERT_", "your-", "EXAMPLE_", salt=28), F.upper(word(46)), say("_HERE_", "_KEY_", "_", salt=29), F.substring(digits, 1, 4)), F.lit(" "), 0),
+    ]
+    pick, texts = F.pmod(i, F.lit(len(kinds))), None
+    for first in range(0, len(kinds), 6):  # some kinds at a time, as the code of all is too long to compile
+        row = None
+        for k, (before, candidate, after, label) in enumerate(kinds[first : first + 6], first):
+            made = F.struct(F.concat(before, candidate, after).alias("text"), F.lit(label).alias("is_secret"))
+            row = F.when(pick == k, made) if row is None else row.when(pick == k, made)
+        part = spark.range(n).filter(pick.between(first, first + 5)).select(row.alias("r")).select("r.is_secret", "r.text")
+        texts = part if texts is None else texts.unionAll(part)
     # Written first, the rules are not compiled again into each use of a text.
     found = candidates(materialise(texts, "synthetic-texts"), "is_secret")
     return materialise(found.select("before", "candidate", "after", F.col("doc_id").alias("is_secret")), "synthetic-findings")
@@ -148,10 +181,11 @@ def findings(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<secret>") -> DataFrame:
-    """The documents with secrets replaced; found: findings() of the same documents."""
-    bad = found.filter("is_secret").groupBy("doc_id").agg(F.collect_set("candidate_sha256").alias("__hashes")).withColumnRenamed("doc_id", "__found")
-    joined = docs.join(bad, docs[id_col] == bad["__found"], "left")
-    parts = F.transform(F.arrays_zip(F.split(F.col(text_col), CANDIDATE, -1).alias("gap"), F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0)).alias("run")), lambda p: F.concat(
-        p["gap"], F.when(F.array_contains("__hashes", F.sha2(p["run"], 256)), F.lit(mask)).otherwise(F.coalesce(p["run"], F.lit("")))))
-    clean = F.when(F.col("__hashes").isNull(), F.col(text_col)).otherwise(F.array_join(parts, ""))
-    return joined.withColumn(text_col, clean).select(*docs.columns)
+    """The documents with secrets replaced, other columns unchanged; found: findings() of the same documents. Rows that share an id, or have none, share their findings."""
+    bad = found.filter("is_secret").groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("candidate_sha256").alias("hashes"))
+    text = F.col(f"row.`{text_col}`")
+    joined = docs.select(as_row(docs)).join(bad, F.col(f"row.`{id_col}`").eqNullSafe(F.col("found_id")), "left")
+    parts = F.transform(F.arrays_zip(F.split(text, CANDIDATE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("run")), lambda p: F.concat(
+        p["gap"], F.when(F.array_contains("hashes", F.sha2(p["run"], 256)), F.lit(mask)).otherwise(F.coalesce(p["run"], F.lit("")))))
+    clean = F.when(F.col("hashes").isNull(), text).otherwise(F.array_join(parts, ""))
+    return joined.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
