@@ -214,7 +214,9 @@ def ws_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.text_hash(T.normalise_space(F.col("text"))).alias("h"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, text, regexp_replace(text, '(?m)^\s*(참\s*고\s*문\s*헌|참고자료|References?|REFERENCES?|Bibliography)\s*$(?s:.*)', '') AS head FROM documents),
+    k AS (SELECT doc_id, CASE WHEN length(head) < length(text) AND length(head) > 0.3 * length(text) THEN head ELSE text END AS kept FROM c)
+    SELECT doc_id, CAST(length(kept) AS INT) AS kept_chars, left(sha256(kept), 16) AS h FROM k""")
 def references_cut(spark, sf_dir):
     cut = T.cut_references(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(cut).alias("kept_chars"), T.text_hash(cut).alias("h"))
@@ -429,7 +431,9 @@ def label_samples(spark, sf_dir):
     return Q.samples(vectors(spark, sf_dir)).select("topic_id", "doc_idx", "rank")
 
 
-@query()
+@query(f"""WITH {VEC}, s AS (SELECT topic_id AS stratum, count(*) AS n FROM v GROUP BY topic_id), b AS (SELECT stratum, n, greatest(1, CAST(floor(n / CAST(sum(n) OVER () AS DOUBLE) * 60) AS INT)) AS own FROM s),
+    r AS (SELECT *, row_number() OVER (ORDER BY n DESC, stratum) AS place, 60 - sum(own) OVER () AS open FROM b)
+    SELECT stratum, CAST(own + CASE WHEN place <= open THEN 1 ELSE 0 END AS INT) AS quota FROM r""")
 def stratified_quota(spark, sf_dir):
     sizes = {r["topic_id"]: r["n"] for r in vectors(spark, sf_dir).groupBy("topic_id").agg(F.count("*").alias("n")).collect()}
     return spark.createDataFrame(sorted(C.quotas(sizes, 60).items()), "stratum int, quota int")
@@ -510,12 +514,24 @@ def paired_t_cohen(spark, sf_dir):
     return S.paired_summary(S.paired_differences(long, proposed(long), "npmi")).withColumns({c: r6(c) for c in ("mean_diff", "t_stat", "cohen_d")})
 
 
-@query()
+#: Student's t for an odd number of degrees of freedom as a finite series, and the signed ranks' sums counted one rank at a time.
+P_VALUES = """s AS (SELECT baseline, n_pairs, m AS mean_diff, m / (sd / sqrt(n_pairs)) AS t_stat, m / sd AS cohen_d FROM f),
+    a AS (SELECT *, atan(abs(t_stat) / sqrt(n_pairs - 1)) AS angle FROM s),
+    tp AS (SELECT *, 1 - 2 / pi() * (angle + sin(angle) * list_sum(list_transform(range(0, CAST((n_pairs - 2) // 2 AS BIGINT)), lambda j: pow(cos(angle), 2 * j + 1) * list_product(list_concat([CAST(1 AS DOUBLE)], list_transform(range(1, j + 1), lambda i: CAST(2 AS DOUBLE) * i / (2 * i + 1))))))) AS t_p FROM a),
+    g AS (SELECT baseline, diff, row_number() OVER (PARTITION BY baseline ORDER BY abs(diff)) AS place FROM p),
+    y AS (SELECT baseline, count(*) AS n, CAST(least(sum(CASE WHEN diff > 0 THEN place ELSE 0 END), sum(CASE WHEN diff < 0 THEN place ELSE 0 END)) AS BIGINT) AS low FROM g GROUP BY baseline),
+    ways(r, l) AS (SELECT 0, list_transform(range(1, 302), lambda i: CAST(CASE WHEN i = 1 THEN 1 ELSE 0 END AS DOUBLE)) UNION ALL SELECT r + 1, list_transform(range(1, 302), lambda i: l[i] + CASE WHEN i > r + 1 THEN l[i - r - 1] ELSE CAST(0 AS DOUBLE) END) FROM ways WHERE r < 24),
+    wp AS (SELECT baseline, least(1.0, 2 * list_sum(l[1:low + 1]) / pow(2, n)) AS wilcoxon_p FROM y JOIN ways ON r = n),
+    o AS (SELECT *, row_number() OVER (ORDER BY t_p, baseline) AS k, count(*) OVER () AS tests FROM tp),
+    h AS (SELECT *, max(least(1.0, (tests - k + 1) * t_p)) OVER (ORDER BY t_p, baseline ROWS UNBOUNDED PRECEDING) AS holm_p FROM o)"""
+
+
+@query(f"""WITH RECURSIVE {RUNS}, {PAIRED}, {SUMMED}, {P_VALUES} SELECT baseline, n_pairs, round(mean_diff, 6) AS mean_diff, round(t_stat, 6) AS t_stat, round(t_p, 6) AS t_p, round(wilcoxon_p, 6) AS wilcoxon_p, round(cohen_d, 6) AS cohen_d, round(holm_p, 6) AS holm_p FROM h JOIN wp USING (baseline)""")
 def paired_p_values(spark, sf_dir):
     long = long_runs(spark, sf_dir)
     own = proposed(long)
     others = sorted(r["model"] for r in long.select("model").distinct().collect() if r["model"] != own)
-    return S.paired_tests(long, own, others, "npmi")
+    return S.paired_tests(long, own, others, "npmi").withColumns({c: r6(c) for c in ("mean_diff", "t_stat", "t_p", "wilcoxon_p", "cohen_d", "holm_p")})
 
 
 @query(f"""WITH {RUNS}, {PAIRED}, {SUMMED}, h AS (SELECT baseline, round(1 / (1 + abs(m / (sd / sqrt(n_pairs)))), 6) AS p FROM f), o AS (SELECT *, row_number() OVER (ORDER BY p, baseline) AS k, count(*) OVER () AS m FROM h)
@@ -660,9 +676,25 @@ def keyphrase_fit(spark, sf_dir):
     return _fit(cfg.KeyphraseConfig(n_topics=4), spark, sf_dir)
 
 
-@query()
+#: Documents that have a vector, as both the vectors and the texts of one corpus; the fragments above then apply to them.
+BOTH = "d AS (SELECT vec_id AS doc_idx, CASE WHEN e.label = 9 THEN -1 ELSE e.label END AS topic_id, lang AS label, regexp_extract_all(lower(text), '[a-z]{2,}') AS tokens, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings e JOIN documents ON vec_id = doc_id), v AS (SELECT doc_idx, topic_id, embedding FROM d)"
+CLASS_WORDS = """c AS (SELECT topic_id, token, count(*) AS f, min(struct_pack(a := doc_idx, b := pos)) AS first FROM w WHERE topic_id >= 0 GROUP BY ALL), z AS (SELECT topic_id, sum(f) AS size FROM c GROUP BY topic_id), mz AS (SELECT avg(size) AS mean_size FROM z), o AS (SELECT token, sum(f) AS total FROM c GROUP BY token),
+    kw AS (SELECT topic_id, token AS w, rank FROM (SELECT topic_id, token, row_number() OVER (PARTITION BY topic_id ORDER BY round(f / size * ln(1 + mean_size / total), 9) DESC, first, token) AS rank FROM c JOIN z USING (topic_id) JOIN o USING (token), mz) WHERE rank <= 10)"""
+SIZES = "sz AS (SELECT topic_id, count(*) AS n FROM v GROUP BY ALL)"
+
+
+@query(f"""WITH {BOTH}, {CENT}, {COHERENCE}, {WORDS}, {CLASS_WORDS}, {PAIRS.replace('FROM documents)', 'FROM d)')}, {TABLE}, {MARGINS}, {NMI}, {ARI}, {PURITY}, {SIZES}
+    SELECT (SELECT round(coalesce(avg(coherence), 0.0), 6) FROM coh WHERE topic_id >= 0) AS coherence_emb, (SELECT round(coalesce(avg(1 - cosine), 0.0), 6) FROM ({SEP})) AS separation,
+    ({_silhouette_sql('one AS (SELECT 1)', 'WHERE topic_id >= 0', 'silhouette')}) AS silhouette, ({_silhouette_sql('one AS (SELECT 1)', '', 'silhouette_noise')}) AS silhouette_noise,
+    (SELECT round(avg(m), 6) FROM (SELECT topic_id, coalesce(avg(npmi), 0.0) AS m FROM (SELECT DISTINCT topic_id FROM kw) LEFT JOIN np USING (topic_id) GROUP BY topic_id)) AS npmi,
+    (SELECT round(CAST(count(DISTINCT w) AS DOUBLE) / (count(DISTINCT topic_id) * 10), 6) FROM kw) AS diversity,
+    (SELECT round(CAST(sum(CASE WHEN topic_id >= 0 THEN n END) AS DOUBLE) / sum(n), 6) FROM sz) AS coverage, (SELECT count(*) FROM sz WHERE topic_id >= 0) AS n_topics_found,
+    (SELECT round(stddev_pop(n), 6) FROM sz WHERE topic_id >= 0) AS topic_size_std, (SELECT min(n) FROM sz WHERE topic_id >= 0) AS topic_size_min, (SELECT max(n) FROM sz WHERE topic_id >= 0) AS topic_size_max,
+    (SELECT round(nmi, 6) FROM nmi) AS nmi, (SELECT round(ari, 6) FROM ari) AS ari, (SELECT round(purity, 6) FROM pur) AS purity,
+    round((SELECT sum(n) FROM t) / (SELECT CAST(count(*) AS DOUBLE) FROM d), 6) AS label_coverage, (SELECT count(DISTINCT b) FROM t) AS n_label_classes""")
 def metric_suite(spark, sf_dir):
     v = vectors(spark, sf_dir, True)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_idx"), T.tokens(F.col("text")).alias("tokens"), F.col("lang").alias("label"))
     rows = v.join(docs, "doc_idx")
-    return E.suite(rows, Q.as_topics(Q.ctfidf(rows)), "label")
+    rounded = ("coherence_emb", "separation", "silhouette", "silhouette_noise", "npmi", "diversity", "coverage", "topic_size_std", "nmi", "ari", "purity", "label_coverage")
+    return E.suite(rows, Q.as_topics(Q.ctfidf(rows)), "label").withColumns({c: r6(c) for c in rounded})
