@@ -8,6 +8,7 @@ pytest.importorskip("topicweave.llm")
 
 import __spark_entry__  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from topicweave.llm.common import materialise  # noqa: E402
 from topicweave.llm import exact_dedup, language_id, mixing, simhash  # noqa: E402
 from topicweave.llm.queries import QUERIES, tokenizer_path  # noqa: E402
 
@@ -24,7 +25,7 @@ def test_stages(spark, folder):
     columns, before = docs.columns, docs
     after = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.materialise(stage(spark, before, folder), "t")
+        out = materialise(stage(spark, before, folder), "t")
         assert out.columns == columns
         after[name], before = out, out
     ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
@@ -37,13 +38,15 @@ def test_stages(spark, folder):
     copies = {r["doc_id"]: r["copies"] for r in mixing.with_copies(after["simhash_near_dedup"]).collect()}
     assert collections.Counter(ids(after["mixing"])) == {i: n for i, n in copies.items() if n}
     packed = corpus_pipeline.run(spark, folder)
-    assert collections.Counter(r["doc_id"] for r in packed.filter("piece = 0").collect()) == {i: n for i, n in copies.items() if n}
+    first = packed.filter("piece = 0").collect()
+    assert collections.Counter(r["doc_id"] for r in first) == {i: n for i, n in copies.items() if n}
+    assert len({r["row_key"] for r in first}) == len(first)  # copies of a document stay apart
 
 
 def test_stages_take_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.materialise(stage(spark, docs, folder), "t")
+        docs = materialise(stage(spark, docs, folder), "t")
         assert docs.count() == 0
 
 

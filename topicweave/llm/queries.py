@@ -7,13 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, exact_dedup, language_id, mixing, packing, pitman_yor, quality_ranking, secret_forest, simhash, suffix_dedup
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from . import compression, exact_dedup, language_id, mixing, packing, pitman_yor, quality_ranking, secret_forest, simhash, stages, suffix_dedup
+from .stages import tokenizer_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
