@@ -1,59 +1,8 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's input.
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing and packing, one after another.
 
-Every stage works on all that its predecessor kept. All but the last return the
-columns of documents; the last returns where each piece of a document goes.
+STAGES lists (name, function); run(spark, sf_dir) applies them to documents.
 """
 
-from __future__ import annotations
+from topicweave.llm.stages import ORACLE_SQL, STAGES, drop_copies, drop_near_copies, identify_language, mix_sources, pack_sequences, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from topicweave.llm import exact_dedup, language_id, mixing, packing, simhash
-from topicweave.llm.common import materialise
-from topicweave.llm.queries import tokenizer_path
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language stays unclear, go."""
-    return language_id.keep_identified(docs, tokenizer_path("piece_bpe_32k.model"))
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return exact_dedup.drop_exact_copies(docs)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return simhash.drop_near_duplicates(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
-    return mixing.mix(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in the training sequences."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), added=True)
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("exact_dedup", drop_copies),
-    ("simhash_near_dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-
-#: Language identification and token ids have no form in SQL; tests compare with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "drop_copies", "drop_near_copies", "identify_language", "mix_sources", "pack_sequences", "run"]
