@@ -165,6 +165,30 @@ def test_embedding_cache(spark, tmp_path):
     assert client.chat("m", "one two three") == client.chat("m", "one two three") and (client.hits, client.misses) == (1, 1)
 
 
+def test_answers_are_asked_for_once(spark, tmp_path):
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    class Counting(V.EchoClient):
+        def chat(self, model, prompt, **options):
+            import uuid
+
+            (log / uuid.uuid4().hex).touch()
+            if "broken" in prompt:
+                raise OSError("down")
+            return "[1]" if prompt.startswith("Which") else super().chat(model, prompt, **options)
+
+    cache = V.KeyValueCache(spark, f"file://{tmp_path}/kv")
+    docs = spark.createDataFrame([(0, "one two three four"), (1, "one two three four"), (2, "five six"), (3, "broken"), (4, None)], "doc_idx long, text string")
+    first = sorted(K.extract(docs, Counting, "m", cache=cache).collect())
+    assert [list(r["keyphrases"]) for r in first] == [["one two", "three four"], ["one two", "three four"], ["five six"], [], first[4]["keyphrases"]]
+    asked = len(list(log.iterdir()))
+    assert asked == 4 and sorted(K.extract(docs, Counting, "m", cache=cache).collect()) == first and len(list(log.iterdir())) == asked + 1  # what failed is asked again
+    found = spark.createDataFrame([(0, "t", ["a", "b"]), (1, "broken", ["c"])], "doc_idx long, text string, keyphrases array<string>")
+    assert sorted(map(tuple, K.keep_by_model(found, Counting, "m", cache).collect())) == [(0, ["b"]), (1, ["c"])]
+    assert sorted(map(tuple, K.keep_by_model(found, V.EchoClient, "m").collect())) == [(0, ["a", "b"]), (1, ["c"])]
+
+
 def runs(spark, table):
     return spark.createDataFrame([(m, s, "npmi", float(v)) for m, vs in table.items() for s, v in enumerate(vs)], "model string, seed long, metric string, value double")
 

@@ -6,48 +6,69 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from topicweave.functions import text as T
+from topicweave.functions.lineage import checkpointed
 from topicweave.functions.vectors import blend, cosine
+from topicweave.sources.services import KeyValueCache, cache_misses
 
 BREAKER = 8
 
 
-def prompt(text: str, n: int) -> str:
-    return f"List the {n} keyphrases that say best what the text is about. Use words of the text. Answer with the phrases alone, separated by commas.\n\nText:\n{text}"
+VERSION = "v1"
 
 
-def extract(docs: DataFrame, make_client: Callable, model: str, per_doc: int | None = None, breaker: int = BREAKER) -> DataFrame:
-    """doc_idx, keyphrases array<string>. docs: doc_idx, text (those to be asked about).
+def answers(rows: DataFrame, make_client: Callable, model: str, breaker: int | None = None, cache: KeyValueCache | None = None, **options) -> DataFrame:
+    """rows(prompt, ...) with `answer`, blank where a request failed.
 
-    A client is made per task; it has ping() and chat(model, prompt, **options).
-    A failed document has no phrases; after `breaker` failures in a row the task fails.
+    A client is made per task; it has ping() and chat(model, prompt, **options). After `breaker` failures in a row
+    the task fails. With a cache each prompt that it lacks is asked for once and its answer kept, on executors.
     """
-    asked = docs.select("doc_idx", "text", (F.lit(per_doc) if per_doc else T.keyphrase_count(F.col("text"))).cast("int").alias("n"))
+    if cache is not None:
+        salt = json.dumps([VERSION, model, options], sort_keys=True)
+        keyed = checkpointed(rows.withColumn("key", F.sha2(F.concat(F.lit(salt), F.lit("\n"), "prompt"), 256)))
+        missing = cache_misses(keyed.select("key", "prompt"), cache.table())
+        new = checkpointed(answers(missing, make_client, model, breaker, None, **options).filter("answer <> ''"))
+        cache.set_many(new.select("key", F.col("answer").alias("value")))
+        return keyed.join(cache.table(), "key", "left").withColumn("answer", F.coalesce("value", F.lit(""))).drop("key", "value")
+    names = [*rows.columns, "answer"]
+    place = names.index("prompt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client, failures = None, 0
         for batch in batches:
-            answers = []
-            for text, n in zip(batch.column("text").to_pylist(), batch.column("n").to_pylist()):
+            found = []
+            for text in batch.column(place).to_pylist():
                 if client is None:
                     client = make_client()
-                    if not client.ping():
+                    if breaker and not client.ping():
                         raise RuntimeError("the language model cannot be reached")
                 try:
-                    answers.append(client.chat(model, prompt(text or "", n), temperature=0.2, max_tokens=200))
+                    found.append(client.chat(model, text, **options))
                     failures = 0
                 except Exception as error:
                     failures += 1
-                    if failures >= breaker:
+                    if breaker and failures >= breaker:
                         raise RuntimeError(f"{failures} requests in a row failed") from error
-                    answers.append("")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_idx"), pa.array(answers, pa.string()), batch.column("n")], names=["doc_idx", "answer", "n"])
+                    found.append("")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=names)
 
-    answered = asked.mapInArrow(run, "doc_idx long, answer string, n int")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("answer", StringType())]))
+
+
+def prompt(text: Column, n: Column) -> Column:
+    return F.concat(F.lit("List the "), n.cast("string"), F.lit(" keyphrases that say best what the text is about. Use words of the text. Answer with the phrases alone, separated by commas.\n\nText:\n"), F.coalesce(text, F.lit("")))
+
+
+def extract(docs: DataFrame, make_client: Callable, model: str, per_doc: int | None = None, breaker: int = BREAKER, cache: KeyValueCache | None = None) -> DataFrame:
+    """doc_idx, keyphrases array<string>. docs: doc_idx, text (those to be asked about). A failed document has no phrases."""
+    n = (F.lit(per_doc) if per_doc else T.keyphrase_count(F.col("text"))).cast("int")
+    asked = docs.select("doc_idx", "text", n.alias("n")).select("doc_idx", "n", prompt(F.col("text"), F.col("n")).alias("prompt"))
+    answered = answers(asked, make_client, model, breaker, cache, temperature=0.2, max_tokens=200)
     return answered.select("doc_idx", T.parse_keyphrases(F.col("answer"), F.col("n")).alias("keyphrases"))
 
 
@@ -77,23 +98,14 @@ def keep_by_percentile(rows: DataFrame, share: float) -> DataFrame:
     return rows.join(F.broadcast(cut), how="cross").filter(F.col("cos").isNull() | F.col("cut").isNull() | (F.col("cos") >= F.col("cut"))).drop("cut")
 
 
-def keep_by_model(found: DataFrame, make_client: Callable, model: str) -> DataFrame:
-    """Phrases (doc_idx, text, keyphrases) whose index the model lists; all on a failure."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = make_client()
-        for batch in batches:
-            kept = []
-            for text, phrases in zip(batch.column("text").to_pylist(), batch.column("keyphrases").to_pylist()):
-                try:
-                    answer = client.chat(model, f"Which phrases (numbered from 0) does the text support? Answer with a JSON list of numbers.\nPhrases: {json.dumps(list(enumerate(phrases)), ensure_ascii=False)}\nText:\n{text}")
-                    chosen = set(T.parse_json(answer))
-                    kept.append([p for i, p in enumerate(phrases) if i in chosen])
-                except Exception:  # an answer that cannot be read keeps all
-                    kept.append(phrases)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_idx"), pa.array(kept, pa.list_(pa.string()))], names=["doc_idx", "keyphrases"])
-
-    return found.select("doc_idx", "text", "keyphrases").mapInArrow(run, "doc_idx long, keyphrases array<string>")
+def keep_by_model(found: DataFrame, make_client: Callable, model: str, cache: KeyValueCache | None = None) -> DataFrame:
+    """Phrases (doc_idx, text, keyphrases) whose number the model lists; all where its answer cannot be read."""
+    numbered = F.to_json(F.transform("keyphrases", lambda p, i: F.struct(i.alias("number"), p.alias("phrase"))))
+    ask = F.concat(F.lit("Which phrases (numbered from 0) does the text support? Answer with a JSON list of numbers.\nPhrases: "), numbered, F.lit("\nText:\n"), F.coalesce("text", F.lit("")))
+    answered = answers(found.select("doc_idx", "keyphrases", ask.alias("prompt")), make_client, model, None, cache)
+    chosen = F.from_json(F.when(F.col("answer").contains("["), T.json_block(F.col("answer"))), "array<int>")
+    kept = F.filter("keyphrases", lambda _, i: F.array_contains("chosen", i))
+    return answered.withColumn("chosen", chosen).select("doc_idx", F.when(F.col("chosen").isNull(), F.col("keyphrases")).otherwise(kept).alias("keyphrases"))
 
 
 def filter_stats(raw: DataFrame, kept: DataFrame) -> DataFrame:
