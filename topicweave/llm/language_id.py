@@ -62,7 +62,10 @@ MARK = "▁"
 class Index:
     """Finds pieces by hash: a wide table of first candidates, and a narrow one of those whose place was taken."""
 
-    def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, firsts: np.ndarray):
+        #: Which first bytes the pieces of a size have; few sizes beyond 16 bytes have any.
+        self.leads = np.zeros((int(sizes.max(initial=4)) + 1, 256), dtype=bool)
+        self.leads[sizes, firsts] = True
         self.hashes, self.sizes, self.longest = hashes, sizes, int(sizes.max(initial=4))
         self.wide = np.zeros(1 << 22, dtype=np.int32)
         at = (hashes & np.uint64((1 << 22) - 1)).astype(np.int64)
@@ -102,7 +105,7 @@ def vocabulary(path: str) -> Index:
     pieces = sorted(found)
     hashes = np.array([_hash_of(p) for p in pieces], dtype=np.uint64)
     order = np.argsort(hashes)
-    return Index(hashes[order], np.array([len(pieces[i]) for i in order]))
+    return Index(hashes[order], np.array([len(pieces[i]) for i in order]), np.array([pieces[i][0] for i in order]))
 
 
 def _hash_of(raw: bytes) -> np.uint64:
@@ -131,6 +134,8 @@ def lattice(block: np.ndarray, index: Index) -> dict[tuple[int, int], np.ndarray
     for start in range(width):
         for end in range(start + 1, min(width, start + index.longest) + 1):
             size = end - start
+            if size > 4 and not index.leads[size][block[:, start]].any():
+                continue
             h = mix((sums[at + end] - sums[at + start]) * down[at + start] ^ (np.uint64(size) << np.uint64(40)))
             piece = index.find(h, size)
             if size <= 4:
