@@ -21,7 +21,6 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from functools import lru_cache
 
@@ -47,14 +46,7 @@ UND = "und"
 #: The pipeline keeps texts with at least this score.
 LEAST_SCORE = 0.5
 
-
-def _not_letters() -> re.Pattern:
-    """Runs of anything but letters: what is no word character, digits, and signs that count as alphanumeric but are no letters (½, ², Ⅳ)."""
-    signs = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W\d_{signs}]+")
-
-
-_NOT_LETTERS = _not_letters()
+_NO_WORD = re.compile(r"[\W\d_]+")
 #: Word start in the vocabulary.
 MARK = "▁"
 
@@ -114,11 +106,13 @@ def _hash_of(raw: bytes) -> np.uint64:
 
 
 def letters(text: str | None) -> bytes:
-    """The letter runs of a text, lower case, each after one space."""
+    """The letter runs of a text, lower case, each after a space."""
     if not text:
         return b""
-    raw = (" " + _NOT_LETTERS.sub(" ", text.lower())).encode("utf-8", "ignore").rstrip()
-    return raw
+    rest = _NO_WORD.sub(" ", text.lower())
+    if not rest.replace(" ", "").isalpha():  # signs that count as alphanumeric but are no letters: ½, ², Ⅳ
+        rest = "".join([c if c.isalpha() else " " for c in rest])
+    return (" " + rest).encode("utf-8", "ignore").rstrip()
 
 
 def lattice(block: np.ndarray, index: Index) -> dict[tuple[int, int], np.ndarray]:
