@@ -416,6 +416,32 @@ def joint_representation(spark, sf_dir):
     return joint.select("doc_idx", "pos", r6("x").alias("value"))
 
 
+def _phrase_rows(spark, sf_dir) -> DataFrame:
+    """Each vector's label is a phrase of it, and the label's mean the phrase's vector."""
+    v = vectors(spark, sf_dir)
+    rows = v.select("doc_idx", F.lit(0).alias("pos"), F.col("topic_id").cast("string").alias("kp"))
+    return K.with_cosine(rows, centroids(v, "topic_id").select(F.col("topic_id").cast("string").alias("kp"), F.col("centroid").alias("embedding")), v)
+
+
+@query(f"WITH {VEC}, {CENT} SELECT doc_idx, CAST(topic_id AS VARCHAR) AS kp, round(list_cosine_similarity(embedding, centroid), 6) AS cos FROM v JOIN cent USING (topic_id)")
+def phrase_document_cosine(spark, sf_dir):
+    return _phrase_rows(spark, sf_dir).select("doc_idx", "kp", r6("cos").alias("cos"))
+
+
+def _cells(items: DataFrame) -> DataFrame:
+    return items.select("doc_idx", "kp", F.posexplode("vec").alias("place", "x")).select("doc_idx", "kp", "place", r6("x").alias("value"))
+
+
+@query(f"WITH {VEC}, {CENT} SELECT doc_idx, CAST(topic_id AS VARCHAR) AS kp, CAST(generate_subscripts(centroid, 1) - 1 AS INT) AS place, round(unnest(centroid), 6) AS value FROM v JOIN cent USING (topic_id)")
+def keyphrase_representation(spark, sf_dir):
+    return _cells(K.represent(_phrase_rows(spark, sf_dir), "keyphrase"))
+
+
+@query(f"WITH {VEC} SELECT doc_idx, CAST(NULL AS VARCHAR) AS kp, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS place, round(unnest(embedding), 6) AS value FROM v")
+def document_representation(spark, sf_dir):
+    return _cells(K.represent(_phrase_rows(spark, sf_dir), "doc"))
+
+
 # --- selection and assignment -----------------------------------------------------------------
 
 
@@ -618,6 +644,12 @@ def topic_detail(spark, sf_dir):
     return Q.detail(vectors(spark, sf_dir))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, left(sha256(left(text, 200)), 16) AS h FROM documents WHERE lang = 'en'")
+def topic_members(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_idx"), F.col("doc_id").cast("string").alias("doc_id"), "text", (F.col("lang") == "en").cast("int").alias("topic_id"))  # a language is a topic
+    return Q.members(rows, 1).select("doc_id", T.text_hash(F.col("text")).alias("h"))
+
+
 # --- models: checked by properties in the tests -----------------------------------------------------
 
 
