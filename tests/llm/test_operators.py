@@ -574,7 +574,7 @@ def test_pitman_yor_predictives_equal_a_sequential_sampler():
     pairs = list(zip(text[:-1].tolist(), text[1:].tolist()))
     counts = collections.Counter(pairs)
     low, root, types = 0.6, 0.4, 6
-    want = sequential_predictive(pairs, types, low, root, 1500, 100, 1)
+    want = sequential_predictive(pairs, types, low, root, 1200, 100, 1)
     words = pitman_yor.mix(np.arange(1, types + 1, dtype=np.uint64))
     order = np.argsort(words)
     place = {int(w): k for k, w in enumerate(order)}
@@ -633,13 +633,13 @@ def test_seating_matches_the_exact_conditional():
 @pytest.mark.parametrize("d", [0.3, 0.73, 0.9])
 def test_seating_of_crowds(d):
     """Beyond EXACT customers: Stirling numbers against their recursion, and draws against the conditional written out."""
-    exact = pitman_yor.log_stirling(d, 1500)
-    for c in (200, 700, 1500):
+    exact = pitman_yor.log_stirling(d, 700)
+    for c in (200, 700):
         t = np.arange(1, c - 1)
         assert np.abs(pitman_yor.crowds(d).logs(np.full(len(t), float(c)), t.astype(float)) - exact[c, 1 : c - 1]).max() < 0.08
     n = 20_000
     keys = np.arange(n, dtype=np.uint64)
-    for c, p, others in ((300, 0.2, 7.0), (700, 1e-3, 3.0), (1500, 0.05, 5000.0)):
+    for c, p, others in ((300, 0.2, 7.0), (500, 1e-3, 3.0), (700, 0.05, 5000.0)):
         t = np.arange(1, c + 1)
         logs = exact[c, 1 : c + 1] + t * math.log(p) + np.cumsum(np.log(1 + d * (others + t - 1)))
         want = np.exp(logs - logs.max())
