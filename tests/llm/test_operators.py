@@ -869,6 +869,24 @@ def test_quality_weights_equal_an_independent_solver():
     assert np.corrcoef(w, model.weights)[0, 1] > 0.999 and np.abs(w - model.weights).max() < 0.1 * np.abs(w).max()
 
 
+def test_quality_learns_from_every_labelled_text(spark):
+    """The stored fit equals the one of the same rows at hand; more than 3,000 texts a label are all read, and unlabelled or held-out ones are not."""
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in ("ba", "ro", "ti", "mu") for b in ("len", "sta", "ver", "dor")]
+    texts = [" ".join(f"{w}#" if i % 2 and rng.random() < 0.3 else w for w in rng.choice(words, 6)) for i in range(8600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([(i, 1 - i % 2) for i in range(8400)], "doc_id int, quality int")
+    learnt = [i for i in range(8400) if crc(i, 5) != 0]
+    stored = quality_ranking.labelled(docs, table, "quality", "doc_id", "text")
+    assert sum(len(r["good"]) for r in stored.collect()) == len(learnt)
+    assert min(sum(i % 2 == k for i in learnt) for k in (0, 1)) > 3000
+    good = [i for i in learnt if not i % 2]
+    x = quality_ranking.features([texts[i].encode() for i in [*good, *(i for i in learnt if i % 2)]])
+    want, got = quality_ranking.fit_pairs(x.astype(np.float64), len(good), 1 - len(good) / len(learnt)), quality_ranking.Labelled(stored).fit()
+    assert np.allclose(got.mean, want.mean, atol=1e-6) and np.allclose(got.scale, want.scale, atol=1e-5)
+    assert np.corrcoef(got.weights, want.weights)[0, 1] > 0.999 and abs(got.cut - want.cut) < 0.02
+
+
 def test_targets_of_many_sources(spark):
     """More sources than partitions, some without a name or a word; places go on from one partition to the next."""
     rng = np.random.default_rng(12)
