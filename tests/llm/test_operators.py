@@ -517,6 +517,17 @@ def test_pitman_yor_is_the_same_however_it_is_dealt(spark, docs):
         assert r["n_known"] == b[i]["n_known"] == c[i]["n_known"] and math.isclose(r["base_score"], c[i]["base_score"], rel_tol=1e-9)
 
 
+def test_pitman_yor_seats_pairs_beyond_the_head(spark):
+    """Wherever the head ends, all pairs are seated alike: scores with a head of a few words are those with all words in it."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k}" for k in np.minimum(29, rng.geometric(0.1, 80) - 1)) + f" rare{i} w{i % 7} twice{i // 2}" for i in range(40)]
+    docs = spark.createDataFrame([(i, t, i % 5 > 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
+    want, few, none = ({r["doc_id"]: r for r in pitman_yor.score(pitman_yor.fit(docs, head=head)).collect()} for head in (pitman_yor.HEAD, 4, 0))
+    assert len(want) == len(texts)
+    for i, r in want.items():
+        assert math.isclose(r["score"], few[i]["score"], rel_tol=1e-9) and math.isclose(r["score"], none[i]["score"], rel_tol=1e-9), (r, few[i], none[i])
+
+
 def sequential_predictive(pairs, types, low, root, sweeps, burn_in, seed):
     """A plain sampler: customers leave and sit down one by one, tables are kept with their sizes."""
     import random

@@ -7,6 +7,7 @@ yields on UTF-8, so no regular expression is needed for them in Python.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -82,6 +83,12 @@ def release(*tables: DataFrame) -> None:
         fs.delete(place, True)
 
 
+def sweep_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove shuffle files that nothing refers to; else they stay until the driver's heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _file_system(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place

@@ -22,14 +22,16 @@ How it is dealt out:
    one row a chunk, and what a seating needs of words beyond the head lies in its
    bucket. Words and pairs travel sorted, as differences, some three bytes each.
 3. Buckets add the chunks up. Pairs seen once have one table; the others are the
-   state that is swept. A sweep reads the state where it lies; only tables by word
-   of the head, and two sums, reach the driver.
-4. Buckets meet the chunks' pairs again and answer, in the order asked, with counts
+   state that is swept. What does not change is kept where it lies; of a sweep only
+   tables are written, and only tables by word of the head, and two sums, reach the
+   driver.
+4. A pair of two words beyond the head lies in both words' buckets, and both draw
+   the same number for it: after each sweep the context's bucket sends the tables of
+   the context, and the word's bucket the root's customers and tables of the word, in
+   an order both know. So no seating depends on where the head ends.
+5. Buckets meet the chunks' pairs again and answer, in the order asked, with counts
    and tables; chunks put their texts' scores together.
 
-A context and a word that both lie beyond the head share one table, as all pairs
-do in interpolated Kneser-Ney smoothing; so words go to two buckets at most.
-
 Words are named by 64-bit hashes; with a million types the odds of one clash are
 below one in ten million.
 
@@ -50,10 +52,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bucket_of, encoded, grouped_word_hashes, materialise, mix, prepare
+from .common import arrow_rows, bucket_of, encoded, grouped_word_hashes, materialise, mix, prepare, release, sweep_shuffles
 
 MODULUS, HELD_OUT = 10, 0
 #: Words of the head at most (their places are 16 bits), tokens of a chunk, and tokens a bucket should have at most.
@@ -192,7 +195,11 @@ class Layout:
         before = np.empty_like(codes)
         before[1:] = codes[:-1]
         before[np.cumsum(per) - per] = end
-        pairs, self.pair_of = np.unique(before * n + codes, return_inverse=True)
+        before *= n
+        before += codes
+        pairs, at = np.unique(before, return_inverse=True)
+        self.pair_of = at.astype(np.int32)
+        del before, at
         self.context, self.word = pairs // n, pairs % n
         self.tail = np.cumsum(place < 0) - 1  # place among the words beyond the head
         a, b = place[self.context], place[self.word]
@@ -425,6 +432,7 @@ class Setup:
 
 
 _PARTS = ("ht", "th", "tt", "dish")
+_SWEPT = ("hh", *_PARTS)
 
 
 class Bucket:
@@ -465,26 +473,47 @@ class Bucket:
         n = np.bincount(where, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
         return np.split(where, np.cumsum([len(k) for k in keys])[:-1]), found, n
 
-    def state(self) -> "State":
+    def state(self, buckets: int) -> "State":
         back = (self.hh * np.uint64(_BACK)) & np.uint64(0xFFFFFFFF)
         left, right = (back >> np.uint64(16)).astype(np.int64), (back & np.uint64(0xFFFF)).astype(np.int64)
         pick = lambda name: (self.owner[name], self.other[name], self.n[name])
-        return State.of(self.words, (left, right, self.hh_n), pick("ht"), pick("th"), self.owner["tt"][self.n["tt"] > 0], self.owner["dish"])
+        once = lambda name: self.owner[name][self.n[name] == 1]
+        return State.of(self.words, (left, right, self.hh_n), pick("ht"), pick("th"), once("tt"), once("dish"), pick("tt"), pick("dish"), buckets)
+
+    def far(self, state: "State") -> np.ndarray:
+        """Rows of `tt` in the order in which the state has them."""
+        many = np.flatnonzero(self.n["tt"] > 1)
+        return many[_met(self.words, [a[many] for a in (self.owner["tt"], self.other["tt"], self.n["tt"])], True, len(state.tt[3]))[0]]
+
+
+def _met(words: np.ndarray, part: list[np.ndarray], context: bool, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Pairs of two words beyond the head as both their buckets order them: that order; owners, keys, counts, and how many there are with each bucket."""
+    owner, other, n = part
+    key = mix(words[owner] ^ mix(other)) if context else mix(other ^ mix(words[owner]))
+    peer = bucket_of_words(other, buckets)
+    order = np.lexsort((key, peer))
+    return order, [owner[order], key[order], n[order], np.bincount(peer, minlength=buckets)]
 
 
 class State:
-    """What is seated in a bucket: pairs of two customers and more, and the tables that pairs of one have."""
+    """What is seated in a bucket: pairs of two customers and more, and the tables that pairs of one have.
+
+    settled: words left out, which have one customer at the root and nothing that is swept.
+    """
 
     def __init__(self, arrays: list[np.ndarray]):
-        signed = [a if k == 0 else a.astype(np.int64) for k, a in enumerate(arrays)]
-        self.words, self.fixed_tables, self.fixed_customers, self.head_tables, self.head_customers, *rest = signed
-        self.hh, self.ht, self.th = rest[0:3], rest[3:6], rest[6:9]
+        keys = (0, len(arrays) - 7, len(arrays) - 3)  # hashes
+        signed = [a if k in keys else a.astype(np.int64) for k, a in enumerate(arrays)]
+        self.words, self.fixed_tables, self.fixed_customers, self.head_tables, self.head_customers, self.settled, *rest = signed
+        self.hh, self.ht, self.th, self.tt, self.dish = rest[0:3], rest[3:6], rest[6:9], rest[9:13], rest[13:17]
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.words, self.fixed_tables, self.fixed_customers, self.head_tables, self.head_customers, *self.hh, *self.ht, *self.th]
+        return [self.words, self.fixed_tables, self.fixed_customers, self.head_tables, self.head_customers, self.settled, *self.hh, *self.ht, *self.th, *self.tt, *self.dish]
 
     @classmethod
-    def of(cls, words, hh, ht, th, tt_contexts, tt_words) -> "State":
+    def of(cls, words, hh, ht, th, tt_contexts, tt_words, tt=None, dish=None, buckets: int = 1) -> "State":
+        """tt_contexts and tt_words: of pairs beyond the head that are seen once; tt and dish: of all of them, by context and by word."""
+        nothing = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         many = lambda part: [a[part[2] > 1] for a in part]
         one = lambda part, k: part[k][part[2] == 1]
         size = lambda a: int(a.max(initial=-1)) + 1
@@ -493,35 +522,78 @@ class State:
         h = max(size(x) for x in (hh[0], hh[1], ht[1], th[1]))
         head_tables = np.bincount(one(hh, 0), minlength=h) + np.bincount(one(ht, 1), minlength=h)
         head_customers = np.bincount(one(hh, 1), minlength=h) + np.bincount(one(th, 1), minlength=h)
-        return cls([words, tables, customers, head_tables, head_customers, *many(hh), *many(ht), *many(th)])
+        met = [_met(words, many(part or nothing), context, buckets)[1] for part, context in ((tt, True), (dish, False))]
+        return cls([words, tables, customers, head_tables, head_customers, np.zeros(1, np.int64), *many(hh), *many(ht), *many(th), *met[0], *met[1]])
+
+    def slim(self) -> tuple["State", np.ndarray]:
+        """Without the words that no sweep changes, and the rows of those that stay."""
+        stays = self.fixed_customers > 1
+        for owner in (self.ht[0], self.th[0], self.tt[0], self.dish[0]):
+            stays[owner] = True
+        row = np.cumsum(stays) - 1
+        moved = lambda part: [row[part[0]], *part[1:]]
+        fixed = [a[stays] for a in (self.words, self.fixed_tables, self.fixed_customers)]
+        settled = self.settled + self.fixed_customers[~stays].sum()
+        parts = [*self.hh, *moved(self.ht), *moved(self.th), *moved(self.tt), *moved(self.dish)]
+        return State([*fixed, self.head_tables, self.head_customers, settled, *parts]), np.flatnonzero(stays)
+
+    def now(self, t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Tables of all pairs, and tables and root customers of the words."""
+        add = lambda owner, name: np.bincount(owner, weights=t[name], minlength=len(self.words)).astype(np.int64)
+        tables = self.fixed_tables + add(self.th[0], "th") + add(self.tt[0], "tt")
+        return {**t, "tables": tables, "customers": self.fixed_customers + add(self.ht[0], "ht") + add(self.dish[0], "dish")}
+
+    def start(self) -> dict[str, np.ndarray]:
+        last = self.now({name: np.ones(len(getattr(self, name)[2]), dtype=np.int64) for name in _SWEPT})
+        return {**last, "root": np.minimum(last["customers"], 1)}
+
+    def stored(self, last: dict[str, np.ndarray]) -> bytes:
+        return packed(*(last[name] for name in _SWEPT), last["root"])
+
+    def restored(self, blob: bytes) -> dict[str, np.ndarray]:
+        *t, root = (a.astype(np.int64) for a in unpacked(blob))
+        return {**self.now(dict(zip(_SWEPT, t))), "root": root}
+
+    def letters(self, last: dict[str, np.ndarray]) -> dict[int, bytes]:
+        """For each bucket that pairs are shared with: tables of their contexts here; root customers and tables of their words here."""
+        cuts = [np.concatenate(([0], np.cumsum(part[3]))) for part in (self.tt, self.dish)]
+        found = {}
+        for b in np.flatnonzero(self.tt[3] + self.dish[3]).tolist():
+            contexts, words = (part[0][cut[b] : cut[b + 1]] for part, cut in zip((self.tt, self.dish), cuts))
+            found[b] = packed(last["tables"][contexts], last["customers"][words], last["root"][words])
+        return found
+
+    def read(self, letters: dict[int, bytes]) -> list[np.ndarray]:
+        """Of all letters, by bucket: tables of the contexts of `dish`, root customers and tables of the words of `tt`."""
+        parts = [unpacked(letters[b]) for b in sorted(letters)]
+        told = [np.concatenate([np.zeros(0, np.int64), *(p[k].astype(np.int64) for p in parts)]) for k in range(3)]
+        if [len(a) for a in told] != [len(self.dish[0]), len(self.tt[0]), len(self.tt[0])]:
+            raise ValueError("buckets differ on the pairs they share")
+        return told
+
+    def step(self, setup: Setup, totals: Totals, last: dict[str, np.ndarray], letters: dict[int, bytes], sweep: int) -> dict[str, np.ndarray]:
+        """All pairs seated anew, given what was so after the last sweep, here and where the letters come from."""
+        h, salt = setup.head.words, 2_000_003 * sweep
+        keys = {"hh": mix(h[self.hh[0]] ^ mix(h[self.hh[1]])), "ht": mix(h[self.ht[1]] ^ mix(self.words[self.ht[0]])), "th": mix(self.words[self.th[0]] ^ mix(h[self.th[1]])), "tt": self.tt[1], "dish": self.dish[1]}
+        context_tables, word_customers, word_root = self.read(letters)
+        head_prob = setup.root_prob(totals, totals.customers, totals.root)
+        own_prob = setup.root_prob(totals, last["customers"], last["root"])
+        seat = lambda k, c, parent, all_: sample_tables(keys[k], c, parent, np.maximum(all_ - last[k], 0), setup.low, STRENGTH, salt)
+        new = self.now({
+            "hh": seat("hh", self.hh[2], head_prob[self.hh[1]], totals.tables[self.hh[0]]),
+            "ht": seat("ht", self.ht[2], own_prob[self.ht[0]], totals.tables[self.ht[1]]),
+            "th": seat("th", self.th[2], head_prob[self.th[1]], last["tables"][self.th[0]]),
+            "tt": seat("tt", self.tt[2], setup.root_prob(totals, word_customers, word_root), last["tables"][self.tt[0]]),
+            "dish": seat("dish", self.dish[2], own_prob[self.dish[0]], context_tables),
+        })
+        return {**new, "root": setup.seat_root(self.words, totals, new["customers"], last["root"], sweep)}
 
     def sweeps(self, setup: Setup) -> Iterator[dict[str, np.ndarray]]:
-        """Tables of all pairs, and tables, root customers and root tables of the words, at the start and after each sweep whose totals are known."""
-        h, n = setup.head.words, len(self.words)
-        keys = {"hh": mix(h[self.hh[0]] ^ mix(h[self.hh[1]])), "ht": mix(h[self.ht[1]] ^ mix(self.words[self.ht[0]])), "th": mix(self.words[self.th[0]] ^ mix(h[self.th[1]]))}
-        t = {k: np.ones(len(keys[k]), dtype=np.int64) for k in keys}
-
-        def now() -> dict[str, np.ndarray]:
-            tables = self.fixed_tables + np.bincount(self.th[0], weights=t["th"], minlength=n).astype(np.int64)
-            customers = self.fixed_customers + np.bincount(self.ht[0], weights=t["ht"], minlength=n).astype(np.int64)
-            return {**t, "tables": tables, "customers": customers}
-
-        last = now()
-        last["root"] = np.minimum(last["customers"], 1)
+        """A bucket that is alone, at the start and after each sweep whose totals are known."""
+        last = self.start()
         yield last
         for sweep, totals in enumerate(setup.history, 1):
-            salt = 2_000_003 * sweep
-            head_prob = setup.root_prob(totals, totals.customers, totals.root)
-            own_prob = setup.root_prob(totals, last["customers"], last["root"])
-            seat = lambda k, c, parent, all_: sample_tables(keys[k], c, parent, np.maximum(all_ - t[k], 0), setup.low, STRENGTH, salt)  # noqa: E731, B023
-            t = {
-                "hh": seat("hh", self.hh[2], head_prob[self.hh[1]], totals.tables[self.hh[0]]),
-                "ht": seat("ht", self.ht[2], own_prob[self.ht[0]], totals.tables[self.ht[1]]),
-                "th": seat("th", self.th[2], head_prob[self.th[1]], last["tables"][self.th[0]]),
-            }
-            root = last["root"]
-            last = now()
-            last["root"] = setup.seat_root(self.words, totals, last["customers"], root, sweep)
+            last = self.step(setup, totals, last, self.letters(last), sweep)
             yield last
 
     def head_sums(self, last: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -537,7 +609,8 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, l
     """Rows that share a key, of batches sorted by it."""
     held, last = [], None
     for batch in batches:
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):  # not all of a batch at once: blobs are copied
+            r = batch.slice(i, 1).to_pylist()[0]
             if held and r[by] != last:
                 yield last, held
                 held = []
@@ -548,35 +621,61 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, l
 
 
 def states(asked: DataFrame, buckets: int) -> DataFrame:
-    """bucket, blob, and how many pairs are seen once and twice, how many words have one and two contexts."""
+    """bucket, blob, and how many pairs are seen once and twice, how many words beyond the head have one and two contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _groups(batches, "bucket"):
             b = Bucket([r["blob"] for r in rows])
-            s = b.state()
-            first = s.fixed_customers + np.bincount(s.ht[0], minlength=len(s.words))
+            s = b.state(buckets)
+            first = s.fixed_customers + np.bincount(s.ht[0], minlength=len(s.words)) + np.bincount(s.dish[0], minlength=len(s.words))
             pairs = [b.hh_n, *(b.n[k] for k in ("ht", "th", "tt"))]
             seen = [sum(int((n == k).sum()) for n in pairs) for k in (1, 2)]
-            yield pa.RecordBatch.from_pydict({"bucket": [bucket], "blob": [packed(*s.arrays())], "once": [seen[0]], "twice": [seen[1]], "root_once": [int((first == 1).sum())], "root_twice": [int((first == 2).sum())]})
+            yield pa.RecordBatch.from_pydict({"bucket": [bucket], "blob": [packed(*s.slim()[0].arrays())], "once": [seen[0]], "twice": [seen[1]], "root_once": [int((first == 1).sum())], "root_twice": [int((first == 2).sum())]})
 
     dealt = asked.select("bucket", "chunk", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(run, "bucket long, blob binary, once long, twice long, root_once long, root_twice long")
 
 
-def swept(table: DataFrame, setup: Setup, shared) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Sums over all buckets after the sweeps so far; tasks add their buckets up first, then slices of the head meet."""
-    n = len(setup.head.words)
+_ROUND = "kind byte, bucket long, origin long, blob binary, own long, root long"
+_SEATS, _LETTER, _SUMS = 0, 1, 2
+
+
+def seated_anew(seated: DataFrame, before: DataFrame, shared, dealt: list[int], sweep: int, send: bool) -> DataFrame:
+    """Each bucket after a sweep: its tables, letters to other buckets if they are still to be sent, and sums. `before` is the same after the last sweep."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out, place_of = to_arrow_schema(_parse_datatype_string(_ROUND)), {d: k for k, d in enumerate(dealt)}
+
+    def run(known: pa.Table, told: pa.Table) -> pa.Table:
+        setup, bucket = shared.value, known.column("bucket")[0].as_py()
+        s, rows = State(unpacked(known.column("blob")[0].as_py())), told.to_pylist()
+        if sweep:
+            last = s.restored(next(r["blob"] for r in rows if r["kind"] == _SEATS))
+            last = s.step(setup, setup.history[-1], last, {r["origin"]: r["blob"] for r in rows if r["kind"] == _LETTER}, sweep)
+        else:
+            last = s.start()
+        settled, origin = int(s.settled[0]), place_of[bucket]
+        rows = [(_SEATS, bucket, origin, s.stored(last), 0, 0)]
+        rows += [(_LETTER, dealt[b], origin, blob, 0, 0) for b, blob in (s.letters(last) if send else {}).items()]
+        rows.append((_SUMS, bucket, origin, packed(*s.head_sums(last, len(setup.head.words))), int(last["customers"].sum()) + settled, int(last["root"].sum()) + settled))
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    told = before.filter(F.col("kind") != _SUMS).select("kind", "bucket", "origin", "blob").repartition(len(dealt), "bucket")
+    return seated.select("bucket", "blob").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, _ROUND)
+
+
+def swept(table: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sums over all buckets after a sweep; tasks add their buckets up first, then slices of the head meet."""
     edges = np.linspace(0, n, SLICES + 1).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, customers, own, root = np.zeros(n, np.int64), np.zeros(n, np.int64), 0, 0
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                s = State(unpacked(blob))
-                *_, last = s.sweeps(shared.value)
-                a, b = s.head_sums(last, n)
-                tables, customers = tables + a, customers + b
-                own, root = own + int(last["customers"].sum()), root + int(last["root"].sum())
+            for r in batch.to_pylist():
+                a, b = unpacked(r["blob"])
+                tables, customers = tables + a.astype(np.int64), customers + b.astype(np.int64)
+                own, root = own + r["own"], root + r["root"]
         rows = [(k, packed(tables[i:j], customers[i:j]), own * (k == 0), root * (k == 0)) for k, (i, j) in enumerate(zip(edges, edges[1:]))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["slice", "blob", "own", "root"])
 
@@ -586,7 +685,8 @@ def swept(table: DataFrame, setup: Setup, shared) -> tuple[np.ndarray, np.ndarra
             yield pa.RecordBatch.from_pydict({"slice": [k], "blob": [packed(*total)], "own": [sum(r["own"] for r in rows)], "root": [sum(r["root"] for r in rows)]})
 
     kinds = "slice long, blob binary, own long, root long"
-    rows = table.select("blob").mapInArrow(run, kinds).repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, kinds).collect()
+    sums = table.filter(F.col("kind") == _SUMS).select("blob", "own", "root")
+    rows = sums.mapInArrow(run, kinds).repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, kinds).collect()
     if not rows:
         return np.zeros(n, np.int64), np.zeros(n, np.int64), 0, 0
     parts = [unpacked(r["blob"]) for r in sorted(rows, key=lambda r: r["slice"])]
@@ -599,10 +699,10 @@ def _discount(once: int, twice: int) -> float:
 
 
 class Model:
-    """A fitted model: the chunks, the setup with the totals of all sweeps, and the number of training tokens."""
+    """A fitted model: the chunks, the setup with the totals of all sweeps, the number of training tokens, and the buckets after the averaged sweeps."""
 
-    def __init__(self, table: DataFrame, dealt: list[int], setup: Setup, tokens: int, samples: int):
-        self.table, self.dealt, self.setup, self.tokens, self.samples = table, dealt, setup, tokens, samples
+    def __init__(self, table: DataFrame, dealt: list[int], setup: Setup, tokens: int, samples: int, rounds: list[DataFrame]):
+        self.table, self.dealt, self.setup, self.tokens, self.samples, self.rounds = table, dealt, setup, tokens, samples, rounds
 
 
 def fit(docs: DataFrame, head: int = HEAD, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
@@ -614,60 +714,82 @@ def fit(docs: DataFrame, head: int = HEAD, burn_in: int = BURN_IN, samples: int
     sums = counts.agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"), F.count_if(F.col("trained") > 0).alias("types")).first()
     found = counts.filter(F.col("trained") >= head_limit(counts, min(head, HEAD))).select("word", "trained").toArrow()
     h = Head(found.column("word").to_numpy().view(np.uint64), found.column("trained").to_numpy())
+    release(counts)
+    del counts
+    sweep_shuffles(spark)
     shared_head = spark.sparkContext.broadcast(h)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums["n"] or 0) // BUCKET_TOKENS))
     dealt = deals(spark, buckets)
     keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text", "learn")
     table = materialise(chunks(keyed, shared_head, dealt, kind), "chunks")
     with arrow_rows(spark, 64):  # rows of some hundred thousand bytes
-        seated = materialise(states(table.filter(F.col("kind") == _ASK), buckets), "seated")
+        # Kept on executors' disks by bucket, so that a sweep shuffles only what is told; lost parts are made again from the chunks.
+        seated = states(table.filter(F.col("kind") == _ASK), buckets).repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
         few = seated.agg(*[F.sum(c).alias(c) for c in ("once", "twice", "root_once", "root_twice")]).first()
-        low, root = _discount(few["once"] or 0, few["twice"] or 0), _discount(few["root_once"] or 0, few["root_twice"] or 0)
-        setup = Setup(h, low, root, sums["types"], [])
+        low = root = _discount(few["once"] or 0, few["twice"] or 0)  # the root's follows from the start
+        history, rounds = [], [spark.createDataFrame([], _ROUND)]
         for sweep in range(burn_in + samples + 1):
+            setup = Setup(h, low, root, sums["types"], history[-1:])
             shared = spark.sparkContext.broadcast(setup)
-            tables, customers, own, own_root = swept(seated, setup, shared)
-            before = setup.history[-1] if sweep else None
+            rounds.append(materialise(seated_anew(seated, rounds[-1], shared, dealt, sweep, sweep < burn_in + samples), "sweep"))
+            tables, customers, own, own_root = swept(rounds[-1], len(h.words))
+            if not sweep:  # customers are contexts still: of the head here, of other words in the buckets' counts
+                root = _discount(*((few[c] or 0) + int((customers == k).sum()) for k, c in ((1, "root_once"), (2, "root_twice"))))
+            before = history[-1] if sweep else None
             seats = setup.seat_root(h.words, before, customers, before.root, sweep) if sweep else np.minimum(customers, 1)
-            totals = Totals(tables, customers, seats, int(customers.sum()) + own, int(seats.sum()) + own_root)
-            setup = Setup(h, low, root, sums["types"], [*setup.history, totals])
+            history.append(Totals(tables, customers, seats, int(customers.sum()) + own, int(seats.sum()) + own_root))
             shared.unpersist()
-    return Model(table, dealt, setup, sums["trained"] or 0, samples)
+            if 0 < sweep <= burn_in + 1:  # the table before is none of the averaged ones
+                release(rounds[-2])
+        seated.unpersist()
+        del seated
+        sweep_shuffles(spark)
+    return Model(table, dealt, Setup(h, low, root, sums["types"], history), sums["trained"] or 0, samples, rounds[-samples:])
 
 
 # --- scoring ------------------------------------------------------------------
 
 
-def answers(model: Model, shared, kind: str) -> DataFrame:
+def answers(model: Model, _shared, kind: str) -> DataFrame:
     """For each chunk and bucket, in the order asked: counts, and tables of the averaged sweeps; of words also root customers and root tables."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    out, samples = to_arrow_schema(_parse_datatype_string(_CHUNK.format(kind=kind))), model.samples
+    out, samples, buckets = to_arrow_schema(_parse_datatype_string(_CHUNK.format(kind=kind))), model.samples, len(model.dealt)
     place_of = {d: k for k, d in enumerate(model.dealt)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _groups(batches, "bucket"):
-            b, setup = Bucket([r["blob"] for r in rows]), shared.value
-            s = b.state()
-            kept = list(s.sweeps(setup))[-samples:]
-            seats = {}
-            for name, n in (("hh", b.hh_n), ("ht", b.n["ht"]), ("th", b.n["th"])):
-                seats[name] = np.minimum(n, 1) * samples
-                seats[name][n > 1] = sum(k[name] for k in kept)
-            words = [k[name] for k in kept for name in ("tables", "customers", "root")]
+            sweeps, rows = [r["blob"] for r in rows if r["chunk"] < 0], [r for r in rows if r["chunk"] >= 0]
+            b = Bucket([r["blob"] for r in rows])
+            full = b.state(buckets)
+            s, stay = full.slim()
+            known = {"hh": b.hh_n, **{name: b.n[name] for name in ("ht", "th", "tt")}}
+            seats = {name: np.minimum(n, 1) * samples for name, n in known.items()}
+            many = {"tt": b.far(full), **{name: np.flatnonzero(known[name] > 1) for name in ("hh", "ht", "th")}}
+            for name, at in many.items():
+                seats[name][at] = 0
+            words = []
+            for blob in sweeps:
+                last = s.restored(blob)
+                for name, at in many.items():
+                    seats[name][at] += last[name]
+                for name, fixed in (("tables", full.fixed_tables), ("customers", full.fixed_customers), ("root", np.minimum(full.fixed_customers, 1))):
+                    words.append(fixed.astype(np.int32))
+                    words[-1][stay] = last[name]
+            del full, s
             for i, r in enumerate(rows):
                 at = b.places[i]
-                parts = [("hh", b.hh_of[i], b.hh_n), ("ht", b.of["ht"][i], b.n["ht"]), ("th", b.of["th"][i], b.n["th"])]
                 arrays = [b.counts[at], *(w[at] for w in words)]
-                for name, place, n in parts:
-                    arrays += [n[place], seats[name][place]]
-                arrays.append(b.n["tt"][b.of["tt"][i]])
+                for name, place in (("hh", b.hh_of[i]), *((name, b.of[name][i]) for name in ("ht", "th", "tt"))):
+                    arrays += [known[name][place], seats[name][place]]
                 values = (_ANSWER, place_of[bucket], r["chunk"], packed(*arrays), None, None)
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, out)], schema=out)
 
-    asked = model.table.filter(F.col("kind") == _ASK).repartition(len(model.dealt), "bucket").sortWithinPartitions("bucket", "chunk")
-    return asked.mapInArrow(run, _CHUNK.format(kind=kind))
+    asked = model.table.filter(F.col("kind") == _ASK).select("bucket", "chunk", "blob")
+    for k, table in enumerate(model.rounds):  # sort first, in their order
+        asked = asked.unionAll(table.filter(F.col("kind") == _SEATS).select("bucket", F.lit(k - samples).cast("long").alias("chunk"), "blob"))
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, _CHUNK.format(kind=kind))
 
 
 class Told:
@@ -676,18 +798,18 @@ class Told:
     def __init__(self, rows: list[dict], setup: Setup, totals: list[Totals]):
         rank, per, by_rank, place, end = unpacked(rows[0]["blob"])  # the texts sort first, then answers by bucket
         self.per, place, by_rank = per.astype(np.int64), place.astype(np.int64) - 1, by_rank.astype(np.int64)
-        self.codes = by_rank[rank.astype(np.int64)]
+        self.codes = by_rank[rank.astype(np.int32)]
+        del rank
         self.layout = lay = Layout(self.codes, self.per, place, int(end[0]))
         parts, samples = [unpacked(r["blob"]) for r in rows[1:]], len(totals)
         told = [np.concatenate([p[k] for p in parts]).astype(np.float64) for k in range(len(parts[0]))]
+        del parts
         near, far = place >= 0, place < 0
         self.count = count = np.zeros(len(place))
         count[near], count[far] = setup.head.counts[place[near]], told[0]
         n, seats = np.zeros(len(lay.word)), np.zeros(len(lay.word))
-        for k, pairs in enumerate((lay.hh, lay.ht, lay.th)):
+        for k, pairs in enumerate((lay.hh, lay.ht, lay.th, lay.tt)):
             n[pairs], seats[pairs] = told[1 + 3 * samples + 2 * k], told[2 + 3 * samples + 2 * k]
-        n[lay.tt] = told[-1]
-        seats[lay.tt] = np.minimum(told[-1], 1) * samples
         self.prob = (n - setup.low * seats / samples) / (STRENGTH + count[lay.context])
         for k, t in enumerate(totals):
             tables, customers, root = (np.zeros(len(place)) for _ in range(3))
@@ -698,9 +820,9 @@ class Told:
 
 
 def broadcasts(model: Model):
-    """What answers and scores need: the totals that the kept sweeps start from, and those they end in."""
+    """What scores need: the setup, and the totals that the averaged sweeps end in."""
     spark, setup = model.table.sparkSession, model.setup
-    return spark.sparkContext.broadcast(Setup(setup.head, setup.low, setup.root, setup.types, setup.history[:-1])), spark.sparkContext.broadcast(setup.history[-model.samples :])
+    return spark.sparkContext.broadcast(Setup(setup.head, setup.low, setup.root, setup.types, [])), spark.sparkContext.broadcast(setup.history[-model.samples :])
 
 
 def score(model: Model) -> DataFrame:
@@ -724,6 +846,7 @@ def score(model: Model) -> DataFrame:
                 pa.array(rows[0]["row_keys"], type=pa.int64()), pa.array(rows[0]["ids"], type=id_type), pa.array(per), pa.array(by_text(told.count[codes] > 0).astype(np.int64)),
                 pa.array(by_text(np.log10((told.count + 0.1) / floor)[codes])), pa.array(total), pa.array(10.0 ** (-total / per)),
             ], names=["row_key", "doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
+            del told, codes, owner, total, rows  # before the next chunk is put together
 
     both = model.table.filter(F.col("kind") == _TEXT).unionAll(answers(model, shared, kind))
     met = both.repartition(2 * len(model.dealt), "chunk").sortWithinPartitions("chunk", "bucket")
