@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import zstandard
@@ -528,6 +529,47 @@ def test_pitman_yor_seats_pairs_beyond_the_head(spark):
         assert math.isclose(r["score"], few[i]["score"], rel_tol=1e-9) and math.isclose(r["score"], none[i]["score"], rel_tol=1e-9), (r, few[i], none[i])
 
 
+class Captured:
+    """Stands for a DataFrame and keeps the function that tasks would run."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    groupBy = agg = lambda self, *columns: self
+
+
+def test_pitman_yor_tasks_hold_little(spark):
+    """Two tasks share an executor with its JVM: what they hold beside a chunk of texts is bounded, and memory that was freed goes back."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    ids = np.minimum(400_000, rng.pareto(0.6, pitman_yor.CHUNK_TOKENS - 4000) * 3).astype(np.int64)
+    texts = [" ".join(f"w{k}" for k in part) for part in np.array_split(ids, 2000)]
+    batches = [pa.RecordBatch.from_pydict({"row_key": list(range(i, i + 250)), "doc_id": list(range(i, i + 250)), "text": texts[i : i + 250], "learn": [True] * 250}) for i in range(0, 2000, 250)]
+
+    def peak(f):
+        tracemalloc.start()
+        out = f()
+        found = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        return out, found
+
+    counting, dealing, held = Captured(), Captured(), {}
+    pitman_yor.word_counts(counting)
+    counted, held["counts"] = peak(lambda: list(counting.run(iter(batches))))
+    words, n = (np.concatenate([b.column(c).to_numpy() for b in counted]) for c in ("word", "n"))
+    assert n.sum() == len(ids) + len(texts) and len(np.unique(words)) == len(words) == len(np.unique(ids)) + 1
+    top = np.argsort(-n, kind="stable")[:2000]
+    head = collections.namedtuple("Shared", "value")(pitman_yor.Head(words.view(np.uint64)[top], n[top]))
+    pitman_yor.chunks(dealing, head, [0, 1], "long")
+    dealt, held["chunk"] = peak(lambda: [b.to_pylist()[0] for b in dealing.run(iter(batches))])
+    asked = [r["blob"] for r in dealt if r["bucket"] == 0]
+    bucket, held["bucket"] = peak(lambda: pitman_yor.Bucket(24 * asked))
+    assert len(dealt) == 3 and dealt[-1]["ids"] == dealt[-1]["row_keys"] == list(range(2000)) and (bucket.n["tt"] % 24 == 0).all()
+    assert held["counts"] < 32 and held["chunk"] < 85 and held["bucket"] < 88, held
+
+
 def sequential_predictive(pairs, types, low, root, sweeps, burn_in, seed):
     """A plain sampler: customers leave and sit down one by one, tables are kept with their sizes."""
     import random

@@ -7,6 +7,7 @@ yields on UTF-8, so no regular expression is needed for them in Python.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -28,7 +29,7 @@ ARROW_ROWS = 256
 ARROW_BYTES = 32 << 20
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, most_bytes: int = ARROW_BYTES) -> None:
     """Let Python workers import this package, and keep Arrow batches small."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
@@ -36,7 +37,7 @@ def prepare(spark: SparkSession) -> None:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     # Read when a plan runs, which is after this returns; so they stay set for the session. Smaller settings are left as they are.
-    for key, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+    for key, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", most_bytes)):
         now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").lower().removesuffix("b"))
         if not 0 < now <= value:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
@@ -83,6 +84,13 @@ def release(*tables: DataFrame) -> None:
         fs.delete(place, True)
 
 
+def trim() -> None:
+    """Give memory that this Python worker has freed back to the system; workers are kept and would hold it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    if (freed := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # of glibc
+        freed(0)
+
+
 def sweep_shuffles(spark: SparkSession) -> None:
     """Have Spark remove shuffle files that nothing refers to; else they stay until the driver's heap happens to fill."""
     gc.collect()
@@ -187,13 +195,13 @@ def _hash_segment(raw: bytes) -> np.ndarray:
     return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hash of each word of one text, in order; a long text is cut at white space."""
-    if len(raw) <= CHUNK_BYTES:
+def word_hashes(raw: bytes, most: int = CHUNK_BYTES) -> np.ndarray:
+    """64-bit hash of each word of one text, in order; a text of more than `most` bytes is cut at white space."""
+    if len(raw) <= most:
         return _hash_segment(raw)
     parts, at = [], 0
     while at < len(raw):
-        end = at + CHUNK_BYTES
+        end = at + most
         while end < len(raw) and not _SPACE[raw[end]]:
             end += 1
         parts.append(_hash_segment(raw[at:end]))
@@ -201,16 +209,16 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def grouped_word_hashes(raws: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts of about CHUNK_BYTES: first, past-last, all word hashes, words per text."""
+def grouped_word_hashes(raws: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts of about `most` bytes: first, past-last, all word hashes, words per text."""
     i = 0
     while i < len(raws):
         j, size = i, 0
-        while j < len(raws) and (j == i or size + len(raws[j]) < CHUNK_BYTES):
+        while j < len(raws) and (j == i or size + len(raws[j]) < most):
             size += len(raws[j]) + 1
             j += 1
         if j - i == 1:
-            h = word_hashes(raws[i])
+            h = word_hashes(raws[i], most)
             yield i, j, h, np.array([len(h)], dtype=np.int64)
         else:
             joined = b"\n".join(raws[i:j])

@@ -56,7 +56,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bucket_of, encoded, grouped_word_hashes, materialise, mix, prepare, release, sweep_shuffles
+from .common import arrow_rows, bucket_of, encoded, grouped_word_hashes, materialise, mix, prepare, release, sweep_shuffles, trim
 
 MODULUS, HELD_OUT = 10, 0
 #: Words of the head at most (their places are 16 bits), tokens of a chunk, and tokens a bucket should have at most.
@@ -70,6 +70,11 @@ EXACT = 128
 END = np.uint64(0xE7D0C0DE5EED0001)
 #: Distinct words a task holds before it sends their counts on.
 HELD = 1 << 20
+#: Tokens that are counted at once, and bytes of text that are hashed at once: arrays of some megabytes.
+COUNTED = 1 << 19
+RUN_BYTES = 1 << 18
+#: Bytes of an Arrow batch: the JVM holds two or three of them a task beside its heap.
+BATCH_BYTES = 4 << 20
 #: Numbers that the head's sums are cut into on their way to the driver.
 SLICES = 16
 #: An odd number and its inverse modulo 2**32: spreads pairs of places over buckets, and back.
@@ -82,7 +87,7 @@ _BACK = pow(_SPREAD, -1, 1 << 32)
 
 def token_runs(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and past-last text, their tokens with an end after each text, tokens per text."""
-    for i, j, hashes, per in grouped_word_hashes(encoded(texts, lower=True)):
+    for i, j, hashes, per in grouped_word_hashes(encoded(texts, lower=True), RUN_BYTES):
         yield i, j, np.insert(hashes, np.cumsum(per), END), per + 1
 
 
@@ -90,8 +95,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """word, n, trained over all texts (text, learn); each task adds up what it has seen before it sends anything."""
 
     def tally(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        return words, *(np.bincount(where, weights=np.concatenate([h[k] for h in held]), minlength=len(words)).astype(np.int64) for k in (1, 2))
+        """Sums by word; takes what it is given away."""
+        columns = list(zip(*held))
+        held.clear()
+        words = np.concatenate(columns.pop(0))
+        order = np.argsort(words)
+        words = words[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(words)), bool), words[1:] != words[:-1])))
+        return words[first], *(np.add.reduceat(np.concatenate(columns.pop(0))[order], first, dtype=np.int64) for _ in range(2))
 
     def sent(words: np.ndarray, n: np.ndarray, trained: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(words), 1 << 16):
@@ -99,21 +110,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(words[s].view(np.int64)), pa.array(n[s]), pa.array(trained[s])], names=["word", "n", "trained"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        met, size, held, known = [], 0, [], 0  # tokens as they come; counts, and how many
         for batch in batches:
-            learn = np.array(batch.column("learn").to_pylist(), dtype=np.int64)
+            learn = np.array(batch.column("learn").to_pylist(), dtype=bool)
             for i, j, tokens, per in token_runs(batch.column("text").to_pylist()):
-                words, where = np.unique(tokens, return_inverse=True)
-                held.append((words, np.bincount(where), np.bincount(where, weights=np.repeat(learn[i:j], per))))
-                size += len(words)
-                if size >= 2 * HELD:
-                    held = [tally(held)]
-                    size = len(held[0][0])
-                    if size >= HELD:
-                        yield from sent(*held[0])
-                        held, size = [], 0
+                met.append((tokens, np.ones(len(tokens), dtype=np.int8), np.repeat(learn[i:j], per)))
+                size += len(tokens)
+                if size >= COUNTED:
+                    held.append(tally(met))
+                    size = 0
+                    known += len(held[-1][0])
+                    if known >= HELD + HELD // 2:
+                        held.append(tally(held))
+                        known = len(held[0][0])
+                        if known >= HELD:
+                            yield from sent(*held.pop())
+                            known = 0
+        if met:
+            held.append(tally(met))
         if held:
             yield from sent(*tally(held))
+        trim()
 
     return texts.mapInArrow(run, "word long, n long, trained long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
 
@@ -171,6 +188,11 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays that are held for long, in four bytes a number where all of them fit."""
+    return [a.astype(np.uint32) if int(a.max(initial=0)) < 1 << 32 else a for a in arrays]
+
+
 def steps(a: np.ndarray) -> np.ndarray:
     """Differences of sorted numbers; np.cumsum undoes them."""
     return np.diff(a.astype(np.uint64), prepend=np.uint64(0))
@@ -192,7 +214,7 @@ class Layout:
 
     def __init__(self, codes: np.ndarray, per: np.ndarray, place: np.ndarray, end: int):
         n = len(place)
-        before = np.empty_like(codes)
+        before = np.empty(len(codes), dtype=np.int64)
         before[1:] = codes[:-1]
         before[np.cumsum(per) - per] = end
         before *= n
@@ -200,14 +222,17 @@ class Layout:
         pairs, at = np.unique(before, return_inverse=True)
         self.pair_of = at.astype(np.int32)
         del before, at
-        self.context, self.word = pairs // n, pairs % n
+        self.context, self.word = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+        del pairs
         self.tail = np.cumsum(place < 0) - 1  # place among the words beyond the head
-        a, b = place[self.context], place[self.word]
-        hh = np.flatnonzero((a >= 0) & (b >= 0))
+        where = lambda found: np.flatnonzero(found).astype(np.int32)
+        a, b = (place.astype(np.int32)[w] for w in (self.context, self.word))
+        hh = where((a >= 0) & (b >= 0))
         spread = ((a[hh].astype(np.uint64) << np.uint64(16) | b[hh].astype(np.uint64)) * np.uint64(_SPREAD)) & np.uint64(0xFFFFFFFF)
         order = np.argsort(spread)
         self.hh, self.spread = hh[order], spread[order]
-        ht, th, tt = np.flatnonzero((a >= 0) & (b < 0)), np.flatnonzero((a < 0) & (b >= 0)), np.flatnonzero((a < 0) & (b < 0))
+        del hh, spread, order
+        ht, th, tt = where((a >= 0) & (b < 0)), where((a < 0) & (b >= 0)), where((a < 0) & (b < 0))
         self.ht = ht[np.lexsort((a[ht], self.word[ht]))]
         self.th = th[np.lexsort((b[th], self.context[th]))]
         self.tt = tt  # by context, then word, as they are
@@ -238,47 +263,53 @@ def chunks(docs: DataFrame, head, dealt: list[int], kind: str, most: int = CHUNK
 
     def told(held: list, h: Head) -> Iterator[pa.RecordBatch]:
         tokens, per, learn = (np.concatenate([x[k] for x in held]) for k in range(3))
-        keys = [k for x in held for k in x[3]]
+        keys, ids = ([v for x in held for v in x[k]] for k in (3, 4))
+        held.clear()
         chunk = keys[0]  # row keys are unique, so the first names the chunk
         words, codes = np.unique(tokens, return_inverse=True)
-        trained = np.repeat(learn, per).astype(np.float64)
+        del tokens
+        codes, trained = codes.astype(np.int32), np.repeat(learn, per)
         lay = Layout(codes, per, h.places(words), int(np.searchsorted(words, END)))
         n_pair = np.bincount(lay.pair_of, weights=trained, minlength=len(lay.word)).astype(np.int64)
         far = words[lay.place < 0]
         n_far = np.bincount(codes, weights=trained, minlength=len(words)).astype(np.int64)[lay.place < 0]
+        del trained
         bounds = np.searchsorted(bucket_of_words(far, buckets), np.arange(buckets + 1))
         cut = lambda order, by: np.searchsorted(lay.tail[by[order]], bounds)
         hh_cut = np.searchsorted(lay.spread * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
         dish = lay.dish[n_pair[lay.dish] > 0]
         cuts = [cut(lay.ht, lay.word), cut(lay.th, lay.context), cut(lay.tt, lay.context), cut(dish, lay.word)]
-        others = [lay.place[lay.context], lay.place[lay.word], words[lay.word], words[lay.context]]
+        others = [(lay.place, lay.context), (lay.place, lay.word), (words, lay.word), (words, lay.context)]
         owners = [lay.word, lay.context, lay.context, lay.word]
         for b in range(buckets):
             s = slice(bounds[b], bounds[b + 1])
             arrays = [steps(far[s]), n_far[s], steps(lay.spread[hh_cut[b] : hh_cut[b + 1]]), n_pair[lay.hh[hh_cut[b] : hh_cut[b + 1]]]]
-            for order, c, other, owner in zip((lay.ht, lay.th, lay.tt, dish), cuts, others, owners):
+            for order, c, (names, other), owner in zip((lay.ht, lay.th, lay.tt, dish), cuts, others, owners):
                 part = order[c[b] : c[b + 1]]
-                arrays += [np.bincount(lay.tail[owner[part]] - bounds[b], minlength=bounds[b + 1] - bounds[b]), other[part], n_pair[part]]
+                arrays += [np.bincount(lay.tail[owner[part]] - bounds[b], minlength=bounds[b + 1] - bounds[b]), names[other[part]], n_pair[part]]
             yield row(_ASK, dealt[b], chunk, packed(*arrays))
+        del dish, cuts, others, owners, far, n_far, n_pair
+        place, lay = lay.place, None
         # Texts keep their tokens by rank, as small numbers compress well.
         by_rank = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
-        rank = np.empty(len(words), dtype=np.int64)
+        rank = np.empty(len(words), dtype=np.int32)
         rank[by_rank] = np.arange(len(words))
-        blob = packed(rank[codes], per, by_rank, lay.place + 1, [np.searchsorted(words, END)])
-        yield row(_TEXT, -1, chunk, blob, pa.concat_arrays([x[4] for x in held]).to_pylist(), keys)
+        blob = packed(rank[codes], per, by_rank, place + 1, [np.searchsorted(words, END)])
+        yield row(_TEXT, -1, chunk, blob, ids, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            learn, keys, ids = np.array(batch.column("learn").to_pylist(), dtype=bool), batch.column("row_key").to_pylist(), batch.column("doc_id")
+            learn, keys, ids = np.array(batch.column("learn").to_pylist(), dtype=bool), batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist()
             for i, j, tokens, per in token_runs(batch.column("text").to_pylist()):
                 if size and size + len(tokens) > most:
                     yield from told(held, head.value)
-                    held, size = [], 0
-                held.append((tokens, per, learn[i:j], keys[i:j], ids.slice(i, j - i)))
+                    size = 0
+                held.append((tokens, per, learn[i:j], keys[i:j], ids[i:j]))
                 size += len(tokens)
         if held:
             yield from told(held, head.value)
+        trim()
 
     return docs.mapInArrow(run, _CHUNK.format(kind=kind))
 
@@ -444,34 +475,43 @@ class Bucket:
     """
 
     def __init__(self, blobs: list[bytes]):
-        asked = [unpacked(b) for b in blobs]
-        self.lists = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
-        self.words, where = np.unique(np.concatenate(self.lists), return_inverse=True)
+        asked = [narrow(unpacked(b)) for b in blobs]
+        lists = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
+        self.words, where = np.unique(np.concatenate(lists), return_inverse=True)
         self.counts = np.bincount(where, weights=np.concatenate([a[1] for a in asked]), minlength=len(self.words)).astype(np.int64)
-        self.places = np.split(where, np.cumsum([len(x) for x in self.lists])[:-1])
+        self.places = np.split(where.astype(np.int32), np.cumsum([len(x) for x in lists])[:-1])
+        del where, lists
+        for a in asked:  # what has been added up is let go
+            a[0] = a[1] = None
         self.hh_of, self.hh, self.hh_n = self._summed([np.cumsum(a[2], dtype=np.uint64) for a in asked], [a[3] for a in asked])
+        for a in asked:
+            a[2] = a[3] = None
         self.of: dict[str, list[np.ndarray]] = {}
         self.owner, self.other, self.n = {}, {}, {}
         for k, name in enumerate(_PARTS):
             owners = [p[np.repeat(np.arange(len(p)), a[4 + 3 * k].astype(np.int64))] for p, a in zip(self.places, asked)]
-            other = np.concatenate([a[5 + 3 * k] for a in asked])
             if name in ("tt", "dish"):  # a hash: named by a hash of both words
+                other = np.concatenate([a[5 + 3 * k] for a in asked]).astype(np.uint64)
                 owner = np.concatenate(owners)
                 keys = mix(other ^ mix(owner.astype(np.uint64) + np.uint64(1)))
                 found, first, where = np.unique(keys, return_index=True, return_inverse=True)
                 self.owner[name], self.other[name] = owner[first], other[first]
                 self.n[name] = np.bincount(where, weights=np.concatenate([a[6 + 3 * k] for a in asked]), minlength=len(found)).astype(np.int64)
-                self.of[name] = np.split(where, np.cumsum([len(x) for x in owners])[:-1])
+                self.of[name] = np.split(where.astype(np.int32), np.cumsum([len(x) for x in owners])[:-1])
+                del owner, keys, found, first, where
             else:
                 keys = [(o.astype(np.uint64) << np.uint64(16)) | a[5 + 3 * k] for o, a in zip(owners, asked)]
                 self.of[name], found, self.n[name] = self._summed(keys, [a[6 + 3 * k] for a in asked])
                 self.owner[name], self.other[name] = (found >> np.uint64(16)).astype(np.int64), (found & np.uint64(0xFFFF)).astype(np.int64)
+                del keys, found
+            for a in asked:
+                a[4 + 3 * k : 7 + 3 * k] = None, None, None
 
     @staticmethod
     def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         found, where = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(where, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
-        return np.split(where, np.cumsum([len(k) for k in keys])[:-1]), found, n
+        return np.split(where.astype(np.int32), np.cumsum([len(k) for k in keys])[:-1]), found, n
 
     def state(self, buckets: int) -> "State":
         back = (self.hh * np.uint64(_BACK)) & np.uint64(0xFFFFFFFF)
@@ -631,6 +671,8 @@ def states(asked: DataFrame, buckets: int) -> DataFrame:
             pairs = [b.hh_n, *(b.n[k] for k in ("ht", "th", "tt"))]
             seen = [sum(int((n == k).sum()) for n in pairs) for k in (1, 2)]
             yield pa.RecordBatch.from_pydict({"bucket": [bucket], "blob": [packed(*s.slim()[0].arrays())], "once": [seen[0]], "twice": [seen[1]], "root_once": [int((first == 1).sum())], "root_twice": [int((first == 2).sum())]})
+            del b, s, first, pairs, rows
+        trim()
 
     dealt = asked.select("bucket", "chunk", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(run, "bucket long, blob binary, once long, twice long, root_once long, root_twice long")
@@ -659,6 +701,8 @@ def seated_anew(seated: DataFrame, before: DataFrame, shared, dealt: list[int],
         rows = [(_SEATS, bucket, origin, s.stored(last), 0, 0)]
         rows += [(_LETTER, dealt[b], origin, blob, 0, 0) for b, blob in (s.letters(last) if send else {}).items()]
         rows.append((_SUMS, bucket, origin, packed(*s.head_sums(last, len(setup.head.words))), int(last["customers"].sum()) + settled, int(last["root"].sum()) + settled))
+        del s, last
+        trim()
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     told = before.filter(F.col("kind") != _SUMS).select("kind", "bucket", "origin", "blob").repartition(len(dealt), "bucket")
@@ -708,7 +752,7 @@ class Model:
 def fit(docs: DataFrame, head: int = HEAD, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """docs: doc_id, text, learn. Two passes over the texts, then sweeps over the seated pairs. The chunks hold all texts, learned from or not."""
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     kind = dict(docs.dtypes)["doc_id"]
     counts = materialise(word_counts(docs.select("text", "learn")), "word-counts")
     sums = counts.agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"), F.count_if(F.col("trained") > 0).alias("types")).first()
@@ -777,7 +821,7 @@ def answers(model: Model, _shared, kind: str) -> DataFrame:
                 for name, fixed in (("tables", full.fixed_tables), ("customers", full.fixed_customers), ("root", np.minimum(full.fixed_customers, 1))):
                     words.append(fixed.astype(np.int32))
                     words[-1][stay] = last[name]
-            del full, s
+            del full
             for i, r in enumerate(rows):
                 at = b.places[i]
                 arrays = [b.counts[at], *(w[at] for w in words)]
@@ -785,6 +829,8 @@ def answers(model: Model, _shared, kind: str) -> DataFrame:
                     arrays += [known[name][place], seats[name][place]]
                 values = (_ANSWER, place_of[bucket], r["chunk"], packed(*arrays), None, None)
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, out)], schema=out)
+            b = s = known = seats = many = words = last = sweeps = rows = at = None  # before the next bucket
+        trim()
 
     asked = model.table.filter(F.col("kind") == _ASK).select("bucket", "chunk", "blob")
     for k, table in enumerate(model.rounds):  # sort first, in their order
@@ -798,23 +844,30 @@ class Told:
     def __init__(self, rows: list[dict], setup: Setup, totals: list[Totals]):
         rank, per, by_rank, place, end = unpacked(rows[0]["blob"])  # the texts sort first, then answers by bucket
         self.per, place, by_rank = per.astype(np.int64), place.astype(np.int64) - 1, by_rank.astype(np.int64)
-        self.codes = by_rank[rank.astype(np.int32)]
-        del rank
+        self.codes = by_rank.astype(np.int32)[rank.astype(np.int32)]
+        del rank, by_rank
         self.layout = lay = Layout(self.codes, self.per, place, int(end[0]))
-        parts, samples = [unpacked(r["blob"]) for r in rows[1:]], len(totals)
-        told = [np.concatenate([p[k] for p in parts]).astype(np.float64) for k in range(len(parts[0]))]
-        del parts
+        parts, samples = [narrow(unpacked(r["blob"])) for r in rows[1:]], len(totals)
+
+        def told(k: int) -> np.ndarray:
+            """Once each: what has been taken is let go."""
+            found = np.concatenate([p[k] for p in parts]).astype(np.float64)
+            for p in parts:
+                p[k] = None
+            return found
+
         near, far = place >= 0, place < 0
         self.count = count = np.zeros(len(place))
-        count[near], count[far] = setup.head.counts[place[near]], told[0]
+        count[near], count[far] = setup.head.counts[place[near]], told(0)
         n, seats = np.zeros(len(lay.word)), np.zeros(len(lay.word))
         for k, pairs in enumerate((lay.hh, lay.ht, lay.th, lay.tt)):
-            n[pairs], seats[pairs] = told[1 + 3 * samples + 2 * k], told[2 + 3 * samples + 2 * k]
+            n[pairs], seats[pairs] = told(1 + 3 * samples + 2 * k), told(2 + 3 * samples + 2 * k)
         self.prob = (n - setup.low * seats / samples) / (STRENGTH + count[lay.context])
+        del n, seats
         for k, t in enumerate(totals):
             tables, customers, root = (np.zeros(len(place)) for _ in range(3))
             for a, head, j in ((tables, t.tables, 1), (customers, t.customers, 2), (root, t.root, 3)):
-                a[near], a[far] = head[place[near]], told[3 * k + j]
+                a[near], a[far] = head[place[near]], told(3 * k + j)
             back = (STRENGTH + setup.low * tables) / (STRENGTH + count)
             self.prob += back[lay.context] * setup.root_prob(t, customers, root)[lay.word] / samples
 
@@ -839,7 +892,7 @@ def score(model: Model) -> DataFrame:
         for _, rows in _groups(batches, "chunk"):
             told = Told(rows, shared.value, last.value)
             per, codes = told.per, told.codes
-            owner = np.repeat(np.arange(len(per)), per)
+            owner = np.repeat(np.arange(len(per), dtype=np.int32), per)
             by_text = lambda v: np.bincount(owner, weights=v, minlength=len(per))  # noqa: E731, B023
             total = by_text(np.log10(told.prob)[told.layout.pair_of])
             yield pa.RecordBatch.from_arrays([
@@ -847,6 +900,7 @@ def score(model: Model) -> DataFrame:
                 pa.array(by_text(np.log10((told.count + 0.1) / floor)[codes])), pa.array(total), pa.array(10.0 ** (-total / per)),
             ], names=["row_key", "doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
             del told, codes, owner, total, rows  # before the next chunk is put together
+        trim()
 
     both = model.table.filter(F.col("kind") == _TEXT).unionAll(answers(model, shared, kind))
     met = both.repartition(2 * len(model.dealt), "chunk").sortWithinPartitions("chunk", "bucket")
